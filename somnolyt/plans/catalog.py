@@ -7,9 +7,6 @@ its work grows with the data.  Floating outputs are rounded to 6 places.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical as C
@@ -17,20 +14,7 @@ from ..operators import features, impute, outliers, recode
 from ..sources import cohort as src
 from . import oracle_sql as O
 from .preprocess import preprocess_cohort
-from .util import round_doubles
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: round_doubles(fn(spark, sf_dir))
-        QUERIES[name].__doc__ = fn.__doc__
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from .registry import query
 
 
 # ---------------------------------------------------------------- cohort / preprocessing
@@ -39,9 +23,6 @@ def _recoded(spark, sf_dir):
     return recode.recode_categories(src.cohort(spark, sf_dir))
 
 
-_PRE_CACHE_KEY = "_somnolyt_pre"
-
-
 def _preprocessed(spark, sf_dir, strategy="median"):
     return preprocess_cohort(src.cohort(spark, sf_dir), strategy=strategy)
 
