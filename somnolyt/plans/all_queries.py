@@ -4,4 +4,5 @@ from . import catalog  # noqa: F401
 from . import catalog_profile  # noqa: F401
 from . import catalog_matrix  # noqa: F401
 from . import catalog_eval  # noqa: F401
+from . import catalog_knn  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
