@@ -197,7 +197,7 @@ def knn_impute(df: DataFrame, cols: list[str], key: str = "patient_id", k: int =
     cand = grouped.applyInPandas(block, schema)
     w = Window.partitionBy("_q", "_c").orderBy("d2", "nbr")
     top = cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
-    wt = 1.0 / F.sqrt(F.col("d2"))
+    wt = F.try_divide(F.lit(1.0), F.sqrt(F.col("d2")))   # NULL at d2 = 0 (that case averages)
     zero = F.col("d2") == 0
     imp = top.groupBy("_q", "_c").agg(
         F.when(F.count_if(zero) > 0, F.avg(F.when(zero, F.col("v"))))
