@@ -6,4 +6,5 @@ from . import catalog_matrix  # noqa: F401
 from . import catalog_eval  # noqa: F401
 from . import catalog_knn  # noqa: F401
 from . import catalog_models  # noqa: F401
+from . import catalog_stats  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
