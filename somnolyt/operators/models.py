@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
@@ -46,7 +47,7 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
     if model == "RandomForest":
         p = {**RF_DEFAULTS, **params}
         clf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="_w",
-                                     maxBins=64, **p)
+                                     maxBins=64, cacheNodeIds=True, maxMemoryInMB=1024, **p)
         stages.append(clf)
     elif model == "GradientBoosting":
         p = {**GBT_DEFAULTS, **params}
@@ -66,7 +67,12 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
 def fit(matrix: DataFrame, features: list[str], model: str = "RandomForest",
         multiclass: bool = False, params: dict | None = None) -> PipelineModel:
     data = _weighted(matrix) if model == "RandomForest" else matrix
-    return build(model, features, multiclass, params).fit(data)
+    # iterative learners rescan their input every pass: keep it materialised
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return build(model, features, multiclass, params).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, key: str = "row_id") -> DataFrame:

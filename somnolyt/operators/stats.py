@@ -194,3 +194,29 @@ def mutual_information(tall: DataFrame, feature: str = "feature", value: str = "
                      (F.sum("n").over(wy) / F.sum("n").over(wf)).alias("py"))
     return p.groupBy(feature).agg(F.sum(F.col("pxy") * F.log(F.col("pxy") / (F.col("px") * F.col("py"))))
                                   .alias("mutual_info"))
+
+
+def comparison_table(df: DataFrame, group: F.Column, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """Features by group: n, missing, mean, std, median for numeric columns;
+    count and percent (of the group's rows) per level for categorical ones.
+    Rows whose group is missing are left out."""
+    g = df.select("*", group.alias("grp")).filter(F.col("grp").isNotNull())
+    num = None
+    for c in numeric:
+        x = F.col(c).cast("double")
+        t = g.groupBy("grp").agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_missing"),
+                                 F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                                 F.percentile(x, 0.5).alias("median"))
+        t = t.select(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("level"), "grp", "n",
+                     "n_missing", "mean", "std", "median", F.lit(None).cast("double").alias("pct"))
+        num = t if num is None else num.unionByName(t)
+    long = g.select("grp", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categorical
+    ])).alias("s")).select("grp", "s.feature", "s.level")
+    from pyspark.sql import Window
+    cat = long.groupBy("feature", "level", "grp").agg(F.count(F.lit(1)).alias("n"))
+    cat = cat.select("feature", "level", "grp", "n", F.lit(None).cast("long").alias("n_missing"),
+                     F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"),
+                     F.lit(None).cast("double").alias("median"),
+                     (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("feature", "grp"))).alias("pct"))
+    return num.unionByName(cat)

@@ -160,3 +160,31 @@ def q_sink_splits(spark, sf_dir):
     path = scratch_path(spark, f"sink/splits-{uuid.uuid4().hex}")
     sp.write.mode("overwrite").partitionBy("split").parquet(path)
     return spark.read.parquet(path).select("patient_id", "label", "split")
+
+
+CMP_NUM = ["nsrr_age", "nsrr_bmi", "nsrr_bp_systolic", "nsrr_bp_diastolic"]
+CMP_CAT = ["nsrr_sex", "nsrr_current_smoker", "nsrr_ever_smoker", "nsrr_race", "nsrr_ethnicity"]
+_GRP_SQL = "CASE WHEN nsrr_ahi_hp3r_aasm15 < 5 THEN 'AHI < 5' WHEN nsrr_ahi_hp3r_aasm15 >= 5 THEN 'AHI >= 5' END"
+
+
+def _comparison_sql():
+    ch = O.cohort_chain().add("cg", f"SELECT *, {_GRP_SQL} AS grp FROM cohort WHERE {_GRP_SQL} IS NOT NULL")
+    parts = [f"""SELECT '{c}' AS feature, CAST(NULL AS VARCHAR) AS level, grp, CAST(count({c}) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing, round(avg({c}), 6) AS mean,
+  round(stddev_samp({c}), 6) AS std, round(quantile_cont({c}, 0.5), 6) AS median, CAST(NULL AS DOUBLE) AS pct
+FROM cg GROUP BY grp""" for c in CMP_NUM]
+    cat = "\nUNION ALL\n".join(f"SELECT grp, '{c}' AS feature, CAST({c} AS VARCHAR) AS level FROM cg" for c in CMP_CAT)
+    parts.append(f"""SELECT feature, level, grp, CAST(n AS BIGINT) AS n, CAST(NULL AS BIGINT) AS n_missing,
+  CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS median,
+  round(n * CAST(100 AS DOUBLE) / sum(n) OVER (PARTITION BY feature, grp), 6) AS pct
+FROM (SELECT feature, level, grp, count(*) AS n FROM ({cat}) GROUP BY feature, level, grp)""")
+    return ch.sql("\nUNION ALL\n".join(parts))
+
+
+@query("comparison_table", _comparison_sql())
+def q_comparison(spark, sf_dir):
+    """Nine features compared between AHI < 5 and AHI >= 5 (raw cohort)."""
+    from pyspark.sql import functions as Fn
+    ahi = Fn.col("nsrr_ahi_hp3r_aasm15")
+    grp = Fn.when(ahi < 5, "AHI < 5").when(ahi >= 5, "AHI >= 5")
+    return stats.comparison_table(src.cohort(spark, sf_dir), grp, CMP_NUM, CMP_CAT)
