@@ -66,9 +66,10 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
 
 def fit(matrix: DataFrame, features: list[str], model: str = "RandomForest",
         multiclass: bool = False, params: dict | None = None) -> PipelineModel:
-    data = _weighted(matrix) if model == "RandomForest" else matrix
-    # iterative learners rescan their input every pass: keep it materialised
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    if model != "RandomForest":
+        return build(model, features, multiclass, params).fit(matrix)   # GBT / SVM cache their own input
+    # the forest rescans its input once per tree level: keep it materialised
+    data = _weighted(matrix).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return build(model, features, multiclass, params).fit(data)
     finally:
