@@ -59,19 +59,31 @@ def pair_d2(Q: np.ndarray, D: np.ndarray) -> np.ndarray:
 
 
 def _top_k(d2: np.ndarray, dkeys: np.ndarray, k: int):
-    """Per row: indices of the k smallest (d2, key), ignoring NaN / inf."""
-    out = []
-    if d2.shape[1] == 0:
-        return [np.array([], dtype=int)] * d2.shape[0]
+    """Per row: indices of the k smallest (d2, key), ignoring NaN / inf.
+
+    Vectorised: ``argpartition`` finds the k-th distance per row; rows with
+    no tie at that distance (the usual case) take every entry <= it.  Rows
+    with ties or fewer than k usable donors fall back to an exact
+    (distance, key) sort of their candidates."""
+    n_rows, n_cols = d2.shape
+    if n_cols == 0:
+        return [np.array([], dtype=int)] * n_rows
     bad = ~np.isfinite(d2)
     d = np.where(bad, np.inf, d2)
-    kk = min(k, d.shape[1])
-    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-    for i in range(d.shape[0]):
-        idx = np.nonzero((d[i] <= kth[i]) & ~bad[i])[0]
+    kk = min(k, n_cols)
+    part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+    kth = np.take_along_axis(d, part, axis=1).max(axis=1)
+    within = d <= kth[:, None]
+    cnt = within.sum(axis=1)
+    simple = (cnt == kk) & np.isfinite(kth)
+    out = [None] * n_rows
+    for i in np.nonzero(simple)[0]:
+        out[i] = part[i]
+    for i in np.nonzero(~simple)[0]:
+        idx = np.nonzero(within[i] & ~bad[i])[0]
         if len(idx) > kk:
             idx = idx[np.lexsort((dkeys[idx], d[i, idx]))][:kk]
-        out.append(idx)
+        out[i] = idx
     return out
 
 
@@ -176,23 +188,29 @@ def knn_impute(df: DataFrame, cols: list[str], key: str = "patient_id", k: int =
         Q, D = _matrix(qpdf["_v"]), _matrix(dpdf["_v"])
         qk, dk = qpdf["_q"].to_numpy(), dpdf["_d"].to_numpy()
         d2 = pair_d2(Q, D)
-        parts = []
+        qs, cs, ns, ds, vs = [], [], [], [], []
         for j in use_idx:
             rq = np.nonzero(np.isnan(Q[:, j]))[0]
             dd = np.nonzero(~np.isnan(D[:, j]))[0]
             if len(rq) == 0 or len(dd) == 0:
                 continue
             sub = d2[np.ix_(rq, dd)]
-            for i, idx in zip(rq, _top_k(sub, dk[dd], k)):
-                if len(idx) == 0:
-                    continue
-                sel = dd[idx]
-                parts.append(pd.DataFrame({"_q": qk[i], "_c": j, "nbr": dk[sel],
-                                           "d2": d2[i, sel], "v": D[sel, j]}))
-        if not parts:
+            picks = _top_k(sub, dk[dd], k)
+            lens = np.array([len(p) for p in picks])
+            if lens.sum() == 0:
+                continue
+            rows = np.repeat(rq, lens)
+            sel = dd[np.concatenate([p for p in picks if len(p)])]
+            qs.append(qk[rows])
+            cs.append(np.full(len(rows), j, dtype="int32"))
+            ns.append(dk[sel])
+            ds.append(d2[rows, sel])
+            vs.append(D[sel, j])
+        if not qs:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        out = pd.concat(parts, ignore_index=True)
-        return out.astype({"_q": "int64", "_c": "int32", "nbr": "int64", "d2": float, "v": float})
+        return pd.DataFrame({"_q": np.concatenate(qs).astype("int64"), "_c": np.concatenate(cs),
+                             "nbr": np.concatenate(ns).astype("int64"), "d2": np.concatenate(ds),
+                             "v": np.concatenate(vs)})
 
     cand = grouped.applyInPandas(block, schema)
     w = Window.partitionBy("_q", "_c").orderBy("d2", "nbr")
