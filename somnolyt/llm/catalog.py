@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, rules
-from .textkit import documents
+from . import bpe, chat, cnn, exact, langid, packing, rules, sampling, toxicity
+from .textkit import documents, id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +97,63 @@ def _rules_sql() -> str:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document."""
     return rules.quality_rules(documents(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """The model of op4, learned from training rows only."""
+    return toxicity.train(sampling.labelled_sample(
+        docs, labels(spark, sf_dir), "toxic", 5, 0, rows=toxicity.TRAINING_ROWS))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = documents(spark, sf_dir)
+    return toxicity.verdicts(toxicity.score_documents(docs, toxicity_model(spark, docs, sf_dir)), 5, 0)
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and its ids decoded."""
+    return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                  public_tokenizers.PATTERN)
+
+
+@query("op6_exact_dedup", sql="""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(length(text), 0) AS n,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, rid)
+""")
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy that stays."""
+    return exact.exact_dedup(documents(spark, sf_dir))
+
+
+@query("op7_quality_cnn")
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = documents(spark, sf_dir)
+    sample = sampling.labelled_sample(docs, labels(spark, sf_dir), "quality", 3, 1, rows=cnn.TRAINING_ROWS)
+    return cnn.verdicts(cnn.score_documents(docs, cnn.train(sample)), 3, 1)
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs, path = documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = langid.identify(docs, langid.learn(docs, path, 5, 0), path)
+    return found.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences along the curve."""
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
