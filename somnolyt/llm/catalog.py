@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cnn, exact, langid, packing, rules, sampling, toxicity
+from . import bpe, chat, cnn, exact, langid, packing, rules, sampling, simhash, substring, toxicity
 from .textkit import documents, id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir))
 
 
+@query("op2_substring_dedup", sql="""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+           FROM documents),
+win AS (SELECT rid, i, sha256(array_to_string(words[i:i + 34], ' ')) AS s
+        FROM (SELECT rid, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) >= 2),
+gone AS (SELECT DISTINCT rid, i + j AS at
+         FROM (SELECT rid, i, unnest(range(0, 35)) AS j FROM win SEMI JOIN twice USING (s))),
+kept AS (SELECT w.rid, string_agg(w.word, ' ' ORDER BY w.at) AS text, count(*) AS n
+         FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d) w
+         ANTI JOIN gone ON gone.rid = w.rid AND gone.at = w.at GROUP BY w.rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.rid = d.rid
+""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated windows."""
+    found = substring.substring_dedup(documents(spark, sf_dir), ["doc_id"])
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-copy component."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
