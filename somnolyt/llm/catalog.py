@@ -183,5 +183,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences along the curve."""
-    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def packed_pieces(docs: DataFrame, path: str) -> DataFrame:
+    """Pieces with the checksum of their ids in place of the ids."""
+    return packing.pack(docs, path).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

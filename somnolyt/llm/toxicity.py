@@ -181,28 +181,38 @@ def train(sample: list[tuple[str, int]]) -> Model:
 
 
 SCORES = pa.schema([
-    ("doc_id", pa.int64()), ("uid", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([
+    ("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.list_(pa.struct([
         ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("p_value", pa.float64())])))])
 
 
-def score_documents(docs: DataFrame, model: Model, uid: str | None = None) -> DataFrame:
-    """(doc_id, uid, score, passages): passages are the maximal segments of
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, passages): passages are the maximal segments of
     p-value P_VALUE or less, as token positions."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, passages = [], []
-            for text in batch.column(2):
+            for text in batch.column(1):
                 n, segments = model.segments(text.as_py())
                 scores.append(model.probability(n, segments))
                 passages.append([{"first": a, "last": b, "score": s, "p_value": p} for a, b, s in segments
                                  if (p := float(np.exp(-max(0.0, model.evidence(n, s))))) <= P_VALUE])
-            yield batch_of(SCORES, batch.column(0), batch.column(1), scores, passages)
-    row = F.col(uid) if uid else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long"), row.cast("long").alias("uid"), "text").mapInArrow(
-        task, "doc_id long, uid long, score double, "
+            yield batch_of(SCORES, batch.column(0), scores, passages)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        task, "doc_id long, score double, "
               "passages array<struct<first:long,last:long,score:double,p_value:double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of probability under one half, with all their columns."""
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = [model.probability(*model.segments(text.as_py())) < 0.5 for text in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+    return docs.mapInArrow(task, docs.schema)
+
+
 def verdicts(scores: DataFrame, modulus: int, held: int) -> DataFrame:
     """Adds held_out, predicted and the number of passages."""
     return scores.select("doc_id", (id_bucket("doc_id", modulus) == held).alias("held_out"), "score",
