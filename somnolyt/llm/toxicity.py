@@ -39,8 +39,9 @@ TRAINING_ROWS = 6000
 #: Weight of the prior as a share of the sample's tokens; z-value that a
 #: token's log-odds must reach; cost of every other token; segments reported.
 PRIOR, SIGNIFICANT, DRIFT, P_VALUE = 0.1, 3.0, 0.02, 0.01
-#: Lengths in bytes of a token's stems; shortest text of the length law.
-STEMS, LEAST_TOKENS = range(4, 13), 32
+#: Lengths in bytes of a token's stems; shortest text and least scale of the
+#: extreme-value law.
+STEMS, LEAST_TOKENS, LEAST_SCALE = range(4, 13), 32, 0.25
 MEMO_ENTRIES = 300_000
 #: Bytes to token bytes: ASCII lower case, ASCII punctuation parts tokens.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -143,10 +144,10 @@ def _extreme_value(maxima: np.ndarray, lengths: np.ndarray) -> tuple[float, floa
     """Gumbel location (for one token) and scale by moments: a maximum over n
     tokens lies scale * log(n) higher than one over a single token."""
     scale, logs = 1.0, np.log(np.maximum(lengths, LEAST_TOKENS))
-    if len(maxima) < 2:
-        return 0.0, scale
+    if len(maxima) < 2:  # clean texts have no segments, so any segment stands out
+        return 0.0, LEAST_SCALE
     for _ in range(20):
-        scale = max(0.25, float(np.std(maxima - scale * logs)) * np.sqrt(6) / np.pi)
+        scale = max(LEAST_SCALE, float(np.std(maxima - scale * logs)) * np.sqrt(6) / np.pi)
     return float(np.mean(maxima - scale * logs)) - 0.5772156649015329 * scale, scale
 
 
