@@ -1,7 +1,7 @@
 """Exact dedup as a stateful stream with disk-backed keyed state.
 
-Arrivals (the rows with a digest of their normalised text) are written once to
-the shared folder and read as a stream.  The stream keeps, for every digest,
+Arrivals (the rows' ids with a digest of their normalised text) are written
+once to the shared folder and read as a stream.  The stream keeps, for every digest,
 the row that stays (its stable identifier, its length and where its content
 lies) and the number of rows; state is kept by RocksDB, checkpointed to the
 shared folder, and never expires, so a later run over the same folder goes on
@@ -33,7 +33,9 @@ from .textkit import GAP
 FILES_A_BATCH = 1000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
-          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+          # many small stores: no disk set aside ahead of the writes
+          "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -45,13 +47,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def arrivals(docs: DataFrame, digest=sha256) -> DataFrame:
-    """Written rows (row, uid, digest, n_chars); row is the input row."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def arrivals(docs: DataFrame, columns: list[str], digest=sha256) -> DataFrame:
+    """Written rows (row, uid, digest, n_chars); row holds the named columns."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
     return stored(own.select(
-        "row", F.monotonically_increasing_id().alias("uid"),
-        digest(normalised(F.col("row.text"))).alias("digest"),
-        F.coalesce(F.length("row.text"), F.lit(0)).cast("long").alias("n_chars")), "arrivals")
+        "row", F.monotonically_increasing_id().alias("uid"), digest(normalised(F.col("text"))).alias("digest"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")), "arrivals")
 
 
 def _summed(rows: DataFrame, key: str, locator: Column) -> DataFrame:
@@ -88,39 +89,39 @@ def state_of_stream(rows: DataFrame, files_a_batch: int = FILES_A_BATCH) -> Data
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def digests_hold_one_text(rows: DataFrame) -> bool:
-    """The check of hits on full bytes."""
-    text = normalised(F.col("row.text"))
-    per_digest = rows.groupBy("digest").agg(F.min(text).alias("least"), F.max(text).alias("greatest"))
+def digests_hold_one_text(docs: DataFrame, digest=sha256) -> bool:
+    """The check of hits on full bytes, read from the documents themselves."""
+    text = docs.select(normalised(F.col("text")).alias("text"))
+    per_digest = (text.groupBy(digest(F.col("text")).alias("digest"))
+                  .agg(F.min("text").alias("least"), F.max("text").alias("greatest")))
     return per_digest.filter(F.col("least") != F.col("greatest")).isEmpty()
 
 
-def exact_groups(docs: DataFrame, digest=sha256) -> tuple[DataFrame, DataFrame]:
+def exact_groups(docs: DataFrame, columns: list[str], digest=sha256) -> tuple[DataFrame, DataFrame]:
     """(arrivals, groups): rows and, by digest, the row that stays and the size."""
-    rows = arrivals(docs, digest)
-    if not rows.inputFiles() or rows.isEmpty():
+    rows = arrivals(docs, columns, digest)
+    if rows.isEmpty():
         return rows, rows.select("digest", F.col("uid").alias("keep_uid"), F.col("row.doc_id").alias("keep_id"),
                                  F.lit("").alias("locator"), F.lit(0).cast("long").alias("n"))
-    groups = state_of_stream(rows)
-    if not digests_hold_one_text(rows):
-        rows = rows.withColumn("digest", normalised(F.col("row.text")))
-        groups = _summed(rows, "digest", F.lit("")).select(
-            "digest", F.col("stays.uid").alias("keep_uid"), F.col("stays.doc_id").alias("keep_id"),
-            F.col("stays.locator").alias("locator"), "n")
-    return rows, groups
+    if digests_hold_one_text(docs, digest):
+        return rows, state_of_stream(rows)
+    rows = arrivals(docs, columns, lambda text: text)
+    return rows, _summed(rows, "digest", F.lit("")).select(
+        "digest", F.col("stays.uid").alias("keep_uid"), F.col("stays.doc_id").alias("keep_id"),
+        F.col("stays.locator").alias("locator"), "n")
 
 
 def exact_dedup(docs: DataFrame, digest=sha256) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows, groups = exact_groups(docs, digest)
-    named = rows.select(F.col("row.doc_id").alias("doc_id"), "uid", "digest",
-                        (F.col("digest") if digest is sha256 else sha256(normalised(F.col("row.text")))).alias("text_sha256"))
-    return named.join(groups, "digest").select(
-        "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"),
-        "text_sha256")
+    named = docs.select("doc_id", "text")
+    shown = named.withColumn("text_sha256", sha256(normalised(F.col("text"))))
+    rows, groups = exact_groups(shown, ["doc_id", "text_sha256"], digest)
+    return rows.join(groups, "digest").select(
+        F.col("row.doc_id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"),
+        (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("row.text_sha256").alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The input rows that stay, with the input's columns."""
-    rows, groups = exact_groups(docs)
+    rows, groups = exact_groups(docs, docs.columns)
     return rows.join(groups.select(F.col("keep_uid").alias("uid")), "uid", "left_semi").select("row.*")
