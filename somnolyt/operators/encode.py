@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import column_quantiles
+
 from . import profile
 
 OTHER = "Otros"
@@ -99,13 +101,10 @@ class Scaling:
         return spark.createDataFrame(rows, "feature string, center double, scale double")
 
 
-def fit_robust(df: DataFrame, cols: list[str], exact: bool = True) -> Scaling:
+def fit_robust(df: DataFrame, cols: list[str]) -> Scaling:
     """Median and interquartile range per column (missing ignored); a zero
     range scales by 1."""
-    q = (lambda c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))) \
-        if exact else (lambda c: F.percentile_approx(F.col(c).cast("double"),
-                                                     F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000))
-    row = df.agg(*[q(c).alias(c) for c in cols]).first()
+    row = column_quantiles(df, cols, [0.25, 0.5, 0.75])
     s = Scaling()
     for c in cols:
         q1, med, q3 = row[c] if row[c] is not None else (0.0, 0.0, 1.0)

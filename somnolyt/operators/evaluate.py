@@ -3,8 +3,8 @@ prediction)`` (binary) or ``(row_id, label, scores[], prediction)``.
 
 Curves need running sums over scores in descending order.  A window without
 a partition key would move every row to one task, so ``running_counts``
-first collapses rows to distinct scores, then numbers them inside bounded
-score buckets and adds the running total of earlier buckets (a table of
+first collapses rows to distinct scores, then numbers them inside score
+buckets of about equally many rows and adds the running total of earlier buckets (a table of
 buckets x groups rows).  AUC and average precision are written with running
 sums only (no ``lag``), so they never need a global order either.
 """
@@ -14,51 +14,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKETS = 1024
+from .quantiles import even_buckets
 
 
 def running_counts(df: DataFrame, score: str = "score", label: str = "label",
-                   by: list[str] | None = None, n_buckets: int = N_BUCKETS) -> DataFrame:
+                   by: list[str] | None = None) -> DataFrame:
     """Per (group, distinct score): pos, neg, and cumulative tp / fp over
-    scores >= this one, plus group totals P and N."""
+    scores >= this one, plus group totals P and N.  Rows without a score or a
+    label have no place on a curve and are left out."""
     by = by or []
-    d = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                   F.count_if(F.col(label) != 1).alias("neg"))
-    rng = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
-    lo, hi = rng["lo"], rng["hi"]
-    span = (hi - lo) if (lo is not None and hi > lo) else 1.0
-    lo = lo if lo is not None else 0.0
-    # ascending bucket id == descending score
-    bkt = F.lit(n_buckets - 1) - F.least(
-        F.floor((F.col(score) - F.lit(lo)) / F.lit(span) * n_buckets).cast("int"), F.lit(n_buckets - 1))
-    d = d.withColumn("_b", bkt)
+    scored = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    d = scored.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("pos"),
+                                       F.count_if(F.col(label) != 1).alias("neg"))
+    d = d.withColumn("_b", -even_buckets(scored, score))  # ascending bucket == descending score
     inner = (Window.partitionBy(*by, "_b").orderBy(F.desc(score))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.select("*", F.sum("pos").over(inner).alias("_tp"), F.sum("neg").over(inner).alias("_fp"))
     tot = d.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    allb = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    # buckets x groups rows: bounded by n_buckets per group
-    tot = tot.select(*by, "_b",
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # buckets x groups rows: bounded by the buckets of a group
+    tot = tot.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_b"])],
                      F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"),
                      F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
-                     F.sum("_bp").over(allb).alias("P"), F.sum("_bn").over(allb).alias("N"))
-    out = d.join(tot, by + ["_b"])
+                     F.sum("_bp").over(group).alias("P"), F.sum("_bn").over(group).alias("N"))
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_b"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    out = d.join(tot, same)
     return out.select(*by, score, "pos", "neg",
                       (F.col("_tp") + F.col("_op")).alias("tp"),
                       (F.col("_fp") + F.col("_on")).alias("fp"), "P", "N")
 
 
+def _with_end_point(rc: DataFrame, by: list[str], score: str, names: tuple[str, str],
+                    point: tuple, end: tuple[float, float]) -> DataFrame:
+    """(by..., threshold, two values) per row of ``rc``; the row of the highest
+    score of a group also yields the group's end point (threshold NULL)."""
+    def row(threshold, a, b):
+        return F.struct(threshold.cast("double").alias("threshold"), a.alias(names[0]), b.alias(names[1]))
+    own = row(F.col(score), *point)
+    extra = row(F.lit(None), F.lit(end[0]), F.lit(end[1]))
+    highest = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return rc.select(*by, F.explode(F.when(highest, F.array(own, extra)).otherwise(F.array(own))).alias("_p")).select(
+        *by, "_p.*")
+
+
 def roc_curve(df: DataFrame, score="score", label="label", by=None) -> DataFrame:
     """(threshold, fpr, tpr) per distinct score, plus the (NULL, 0, 0) start."""
     by = by or []
-    rc = running_counts(df, score, label, by)
-    pts = rc.select(*by, F.col(score).alias("threshold"),
-                    F.try_divide(F.col("fp"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("tp"), F.col("P")).alias("tpr"))
-    start = rc.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"),
-                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return pts.unionByName(start)
+    return _with_end_point(running_counts(df, score, label, by), by, score, ("fpr", "tpr"),
+                           (F.try_divide(F.col("fp"), F.col("N")), F.try_divide(F.col("tp"), F.col("P"))), (0.0, 0.0))
 
 
 def roc_auc(df: DataFrame, score="score", label="label", by=None) -> DataFrame:
@@ -73,13 +79,9 @@ def roc_auc(df: DataFrame, score="score", label="label", by=None) -> DataFrame:
 def pr_curve(df: DataFrame, score="score", label="label", by=None) -> DataFrame:
     """(threshold, precision, recall) per distinct score plus the closing (1, 0)."""
     by = by or []
-    rc = running_counts(df, score, label, by)
-    pts = rc.select(*by, F.col(score).alias("threshold"),
-                    F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-                    F.try_divide(F.col("tp"), F.col("P")).alias("recall"))
-    end = rc.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("threshold"),
-                                           F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return pts.unionByName(end)
+    return _with_end_point(running_counts(df, score, label, by), by, score, ("precision", "recall"),
+                           (F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")),
+                            F.try_divide(F.col("tp"), F.col("P"))), (1.0, 0.0))
 
 
 def average_precision(df: DataFrame, score="score", label="label", by=None) -> DataFrame:
@@ -142,27 +144,20 @@ def classification_report(df: DataFrame, label="label", prediction="prediction")
     return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
 
 
-def confusion_matrix(df: DataFrame, label="label", prediction="prediction",
-                     max_classes: int = 1000) -> DataFrame:
+def confusion_matrix(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
     """(label, prediction, n) over classes x classes, zero cells kept.
 
-    The class list is collected (checked <= max_classes) and used as pivot
-    values: a conditional aggregation, no join against a made-up grid."""
-    classes = sorted(r[0] for r in df.select(F.col(label).alias("c")).union(
-        df.select(F.col(prediction).alias("c"))).distinct().collect())
-    if len(classes) > max_classes:
-        raise ValueError(f"{len(classes)} classes exceed max_classes={max_classes}")
-    wide = df.groupBy(label).pivot(prediction, classes).agg(F.count(F.lit(1))).fillna(0)
-    missing = [c for c in classes if c not in set(r[0] for r in wide.select(label).collect())]
-    structs = [F.struct(F.lit(c).alias("prediction"), F.col(f"`{c}`").cast("long").alias("n")) for c in classes]
-    long = wide.select(F.col(label).alias("label"), F.explode(F.array(*structs)).alias("s")).select(
-        "label", "s.prediction", "s.n")
-    if missing:
-        # classes only ever predicted: their true-label rows are all zero
-        zero = df.sparkSession.createDataFrame([(m, c, 0) for m in missing for c in classes],
-                                               "label long, prediction long, n long")
-        long = long.select(F.col("label").cast("long"), F.col("prediction").cast("long"), "n").unionByName(zero)
-    return long
+    One grouped count gives the filled cells; the classes found in it span the
+    grid of cells, which is the size of the result.  A missing label or
+    prediction is no class and its rows are left out."""
+    cells = (df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+             .groupBy(F.col(label).cast("long").alias("label"), F.col(prediction).cast("long").alias("prediction"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    classes = cells.select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.collect_set("c").alias("cs"))
+    grid = (classes.select(F.explode("cs").alias("label"), "cs")
+            .select("label", F.explode("cs").alias("prediction")))
+    return grid.join(cells, ["label", "prediction"], "left").select(
+        "label", "prediction", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def confusion_matrix_normalized(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
@@ -194,13 +189,18 @@ def cv_summary(scores: DataFrame, value: str = "auc") -> DataFrame:
 
 def score_histogram(df: DataFrame, score: str = "score", by: list[str] | None = None,
                     bins: int = 30) -> DataFrame:
-    """Density histogram of scores per group, each group over its own range
-    (group stats: one row per group, joined back)."""
+    """Density histogram of scores per group, each group over its own range.
+    Rows without a score are left out; a missing group is a group.  The range
+    table has one row per group; without groups it is a single row."""
     by = by or []
-    st = df.groupBy(*by).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
-    st = st.select(*by, "_mn", F.when(F.col("_mx") > F.col("_mn"), F.col("_mx") - F.col("_mn"))
-                   .otherwise(F.lit(1.0)).alias("_span"))
-    j = df.filter(F.col(score).isNotNull()).join(st, by)
+    rows = df.filter(F.col(score).isNotNull())
+    st = rows.groupBy(*by).agg(F.min(score).alias("_mn"), F.max(score).alias("_mx"))
+    st = st.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_mn",
+                   F.when(F.col("_mx") > F.col("_mn"), F.col("_mx") - F.col("_mn")).otherwise(F.lit(1.0)).alias("_span"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    j = rows.join(st, same) if by else rows.join(F.broadcast(st))
     b = F.least(F.floor((F.col(score) - F.col("_mn")) / F.col("_span") * bins).cast("int"), F.lit(bins - 1))
     c = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("_mn").alias("_mn"),
                                             F.first("_span").alias("_span"))

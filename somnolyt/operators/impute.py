@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.cohort import KEY
+from .quantiles import column_quantiles
 from .recode import numeric_columns
 
 
@@ -19,8 +20,7 @@ def _as_double(df: DataFrame, cols: list[str]) -> DataFrame:
                        for c in df.columns])
 
 
-def fit_simple(df: DataFrame, cols: list[str], strategy: str = "mean",
-               exact: bool = True) -> dict[str, float | None]:
+def fit_simple(df: DataFrame, cols: list[str], strategy: str = "mean") -> dict[str, float | None]:
     """Learn one fill value per column (driver receives one small row)."""
     if not cols:
         return {}
@@ -28,10 +28,8 @@ def fit_simple(df: DataFrame, cols: list[str], strategy: str = "mean",
         row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
         return row.asDict()
     if strategy == "median":
-        agg = (lambda c: F.percentile(F.col(c), 0.5)) if exact else \
-              (lambda c: F.percentile_approx(F.col(c), 0.5, 100000))
-        row = df.agg(*[agg(c).cast("double").alias(c) for c in cols]).first()
-        return row.asDict()
+        found = column_quantiles(df, cols, [0.5])
+        return {c: q[0] if q else None for c, q in found.items()}
     if strategy == "most_frequent":
         # one row per column: bounded by the column count
         return {r["column"]: r["value"] for r in most_frequent(df, cols).collect()}
@@ -65,17 +63,17 @@ def apply_fill(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
 
 
 def impute_simple(df: DataFrame, strategy: str = "mean", cols: list[str] | None = None,
-                  key: str = KEY, exact: bool = True) -> DataFrame:
+                  key: str = KEY) -> DataFrame:
     cols = cols if cols is not None else numeric_columns(df, key)
-    return apply_fill(df, fit_simple(df, cols, strategy, exact))
+    return apply_fill(df, fit_simple(df, cols, strategy))
 
 
 def impute_mean(df, cols=None, key=KEY):
     return impute_simple(df, "mean", cols, key)
 
 
-def impute_median(df, cols=None, key=KEY, exact=True):
-    return impute_simple(df, "median", cols, key, exact)
+def impute_median(df, cols=None, key=KEY):
+    return impute_simple(df, "median", cols, key)
 
 
 def impute_mode(df, cols=None, key=KEY):

@@ -1,12 +1,10 @@
 """Interquartile-range outlier rules.
 
 ``outlier_filter_sequential`` reproduces the order-dependent rule: each
-column's quartiles are computed on the rows left by earlier columns.  It
-runs one small aggregation per column over a materialised input: the job for
-column i counts i's outliers AND computes column i+1's quartiles both with
-and without i's filter, so the chain needs n+1 jobs instead of 2n.  The
-predicates are literals, so the plan grows by one filter per column instead
-of doubling.
+column's quartiles are computed on the rows left by earlier columns.  Every
+column costs one exact quantile (two aggregations, see ``quantiles``) and one
+count over a materialised input.  The predicates are literals, so the plan
+grows by one filter per column.
 """
 
 from __future__ import annotations
@@ -15,23 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import is_materialized, materialize
 from ..sources.cohort import KEY
+from .quantiles import column_quantiles
 from .recode import numeric_columns
 
 # Columns never filtered by the 3*IQR rule.
 CRITICAL = ["nsrr_ahi_hp3r_aasm15", "nsrr_bmi", "nsrr_age"]
 
 
-def _quartiles(c: str, exact: bool, when=None) -> F.Column:
-    x = F.col(c).cast("double")
-    if when is not None:
-        x = F.when(when, x)
-    if exact:
-        return F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    return F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 100000)
-
-
 AUDIT_SCHEMA = T.StructType([
     T.StructField("step", T.IntegerType()),
     T.StructField("column", T.StringType()),
@@ -47,9 +37,8 @@ AUDIT_SCHEMA = T.StructType([
 
 def outlier_filter_sequential(df: DataFrame, cols: list[str] | None = None,
                               skip: list[str] = CRITICAL, factor: float = 3.0,
-                              max_share: float = 0.05, exact: bool = True,
-                              key: str = KEY, skip_cols: list[str] | None = None,
-                              simultaneous: bool = False):
+                              max_share: float = 0.05,
+                              key: str = KEY, skip_cols: list[str] | None = None):
     """Return ``(filtered_df, audit_df)``.
 
     For each numeric column (schema order, skipping ``skip``): bounds are
@@ -59,45 +48,23 @@ def outlier_filter_sequential(df: DataFrame, cols: list[str] | None = None,
     """
     cols = cols if cols is not None else numeric_columns(df, key)
     cols = [c for c in cols if c not in skip and c not in (skip_cols or [])]
-    base = materialize(df)
+    base = df if is_materialized(df) else materialize(df)
     spark = df.sparkSession
     if not cols:
         return base, spark.createDataFrame([], AUDIT_SCHEMA)
 
     keep = F.lit(True)
     audit = []
-    if simultaneous:
-        qs = base.agg(*[_quartiles(c, exact).alias(c) for c in cols]).first()
-        bounds = {c: (qs[c][0], qs[c][1]) for c in cols}
-        outs = {c: _is_out(c, *bounds[c], factor) for c in cols}
-        row = base.agg(F.count(F.lit(1)).alias("n"),
-                       *[F.count_if(F.coalesce(outs[c], F.lit(False))).alias(c) for c in cols]).first()
-        for i, c in enumerate(cols):
-            n_out, n = row[c], row["n"]
-            removed = 0 < n_out < n * max_share
-            if removed:
-                keep = keep & ~F.coalesce(outs[c], F.lit(False))
-            audit.append(_audit_row(i, c, bounds[c], factor, n_out, n, removed))
-        return base.filter(keep), spark.createDataFrame(audit, AUDIT_SCHEMA)
-
-    q = base.agg(_quartiles(cols[0], exact).alias("q")).first()["q"]
     for i, c in enumerate(cols):
-        q1, q3 = (q[0], q[1]) if q is not None else (None, None)
-        out = _is_out(c, q1, q3, factor)
-        out_nn = F.coalesce(out, F.lit(False))
-        aggs = [F.count(F.lit(1)).alias("n"), F.count_if(out_nn).alias("n_out")]
-        if i + 1 < len(cols):
-            nxt = cols[i + 1]
-            aggs += [_quartiles(nxt, exact).alias("q_all"),
-                     _quartiles(nxt, exact, when=~out_nn).alias("q_kept")]
-        row = base.filter(keep).agg(*aggs).first()
+        left = base.filter(keep)
+        q1, q3 = column_quantiles(left, [c], [0.25, 0.75])[c] or (None, None)
+        out = F.coalesce(_is_out(c, q1, q3, factor), F.lit(False))
+        row = left.agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("n_out")).first()
         n, n_out = row["n"], row["n_out"]
         removed = 0 < n_out < n * max_share
         if removed:
-            keep = keep & ~out_nn
+            keep = keep & ~out
         audit.append(_audit_row(i, c, (q1, q3), factor, n_out, n, removed))
-        if i + 1 < len(cols):
-            q = row["q_kept"] if removed else row["q_all"]
     return base.filter(keep), spark.createDataFrame(audit, AUDIT_SCHEMA)
 
 
@@ -120,14 +87,13 @@ def _audit_row(i, c, q, factor, n_out, n, removed):
     return (i, c, q1, q3, lo, hi, int(n_out), int(n), action)
 
 
-def outlier_summary(df: DataFrame, cols: list[str], factor: float = 1.5,
-                    exact: bool = True) -> DataFrame:
+def outlier_summary(df: DataFrame, cols: list[str], factor: float = 1.5) -> DataFrame:
     """1.5*IQR profile per column: count, percent of all rows, min, max of
     outliers.  One job for quartiles (one small row to the driver), then a
     single lazily-planned pass over the unpivoted columns with literal
     bounds (partial aggregation map-side, a tiny shuffle on the column name).
     """
-    qs = df.agg(*[_quartiles(c, exact).alias(c) for c in cols]).first()
+    qs = column_quantiles(df, cols, [0.25, 0.75])
     structs = []
     for c in cols:
         q1, q3 = (qs[c][0], qs[c][1]) if qs[c] is not None else (None, None)

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import column_quantiles, exact_quantiles
+
 
 def unpivot(df: DataFrame, cols: list[str], value_type: str = "double",
             keep: list[str] | None = None) -> DataFrame:
@@ -27,21 +29,14 @@ def unpivot(df: DataFrame, cols: list[str], value_type: str = "double",
         *keep, "_kv.column", "_kv.value")
 
 
-def _pct(x, q, exact: bool):
-    if exact:
-        return F.percentile(x, q)
-    return F.percentile_approx(x, q, 100000)
-
-
-def describe_numeric(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std (n-1), min, 25/50/75%, max per numeric column."""
     long = unpivot(df, cols)
-    q = _pct(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), exact)
     agg = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        q.alias("_q"), F.max("value").alias("max"))
-    return agg.select("column", "count", "mean", "std", "min",
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = exact_quantiles(long, ["column"], "value", [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
+    return agg.join(q, "column", "left").select("column", "count", "mean", "std", "min",
                       F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
                       F.col("_q")[2].alias("p75"), "max")
 
@@ -183,22 +178,20 @@ def auto_bins(n: int, vmin: float, vmax: float, q1: float, q3: float) -> int:
     return max(1, int(math.ceil(ptp / width)))
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None, by: list[str] | None = None,
-              exact: bool = True) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed), with density.
 
-    One stats job (min, max, n, quartiles -> the bin count), then one
-    grouped count with literal edges.  With ``by`` each group's density is
+    One stats job (min, max, n) and, unless ``bins`` is given, one for the
+    quartiles of the bin rule; then one grouped count with literal edges.  With ``by`` each group's density is
     normalised by its own count.
     """
     by = by or []
     x = F.col(col).cast("double")
-    st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"),
-                _pct(x, F.array(F.lit(0.25), F.lit(0.75)), exact).alias("q")).first()
+    st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n")).first()
     if st["n"] == 0:
         return df.sparkSession.createDataFrame(
             [], "bin int, lower double, upper double, n long, density double")
-    nb = bins or auto_bins(st["n"], st["mn"], st["mx"], st["q"][0], st["q"][1])
+    nb = bins or auto_bins(st["n"], st["mn"], st["mx"], *column_quantiles(df, [col], [0.25, 0.75])[col])
     mn, mx = st["mn"], st["mx"]
     span = (mx - mn) if mx > mn else 1.0
     width = span / nb
@@ -222,7 +215,8 @@ def binned_pairs(df: DataFrame, cols: list[str], bins: int = 10, by: list[str] |
     def bin_of(c):
         mn, mx = st[f"mn_{c}"], st[f"mx_{c}"]
         span = (mx - mn) if (mx is not None and mx > mn) else 1.0
-        return F.least(F.floor((F.col(c) - F.lit(mn)) / F.lit(span) * bins).cast("int"), F.lit(bins - 1))
+        place = F.floor((F.col(c) - F.lit(mn)) / F.lit(span) * bins).cast("int")
+        return F.when(F.col(c).isNotNull(), F.least(place, F.lit(bins - 1)))  # least() alone skips NULL
 
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     structs = [F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
@@ -235,21 +229,20 @@ def binned_pairs(df: DataFrame, cols: list[str], bins: int = 10, by: list[str] |
 # ---------------------------------------------------------------- box plots
 
 def boxplot_stats(df: DataFrame, cols: list[str], by: list[str] | None = None,
-                  whisker: float = 1.5, exact: bool = True) -> DataFrame:
+                  whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (last value inside 1.5*IQR) and flier count per
     column (and group).  Pass 1: quartiles per (group, column); pass 2 joins
-    the small quartile table (groups x columns rows, broadcast) back."""
+    the quartile table (groups x columns rows) back."""
     by = by or []
     keys = by + ["column"]
     long = unpivot(df, cols, keep=by).filter(F.col("value").isNotNull())
-    q = long.groupBy(*keys).agg(
-        _pct(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), exact).alias("_q"))
+    q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     q = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                  F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.select("*", (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
                  (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    j = long.join(F.broadcast(q), cond)
+    j = long.join(q, cond)
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
     return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 GRID = 200
 CUT = 3.0
 
@@ -94,15 +96,13 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, grid: int = GRID,
 def welch_ttest(df: DataFrame, group: str, values: list[str], a, b) -> DataFrame:
     """Per variable: n, mean, sample variance per group, Welch t and df.
     Each group needs more than one value (else t and df are NULL)."""
-    rows = None
-    for v in values:
-        x = F.col(v).cast("double")
-        ga, gb = F.col(group) == F.lit(a), F.col(group) == F.lit(b)
-        agg = df.agg(F.count(F.when(ga, x)).alias("n1"), F.count(F.when(gb, x)).alias("n2"),
-                     F.avg(F.when(ga, x)).alias("mean1"), F.avg(F.when(gb, x)).alias("mean2"),
-                     F.var_samp(F.when(ga, x)).alias("var1"), F.var_samp(F.when(gb, x)).alias("var2"))
-        agg = agg.select(F.lit(v).alias("variable"), "*")
-        rows = agg if rows is None else rows.unionByName(agg)
+    tall = df.select(F.col(group).alias("_g"), F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in values])).alias("s"))
+    ga, gb, x = F.col("_g") == F.lit(a), F.col("_g") == F.lit(b), F.col("s.x")
+    rows = tall.groupBy(F.col("s.variable").alias("variable")).agg(
+        F.count(F.when(ga, x)).alias("n1"), F.count(F.when(gb, x)).alias("n2"),
+        F.avg(F.when(ga, x)).alias("mean1"), F.avg(F.when(gb, x)).alias("mean2"),
+        F.var_samp(F.when(ga, x)).alias("var1"), F.var_samp(F.when(gb, x)).alias("var2"))
     se1 = F.col("var1") / F.col("n1")
     se2 = F.col("var2") / F.col("n2")
     ok = (F.col("n1") > 1) & (F.col("n2") > 1)
@@ -181,7 +181,7 @@ def mutual_information(tall: DataFrame, feature: str = "feature", value: str = "
                        label: str = "label") -> DataFrame:
     """MI between a decile-binned feature and the label (natural log).
     bin = number of the nine deciles strictly below the value."""
-    q = tall.groupBy(feature).agg(F.percentile(value, [i / 10 for i in range(1, 10)]).alias("dec"))
+    q = exact_quantiles(tall, [feature], value, [i / 10 for i in range(1, 10)]).withColumnRenamed("q", "dec")
     j = tall.join(q, feature)
     j = j.select(feature, label, F.size(F.filter("dec", lambda d: d < F.col(value))).alias("bin"))
     joint = j.groupBy(feature, "bin", label).agg(F.count(F.lit(1)).alias("n"))
@@ -199,17 +199,20 @@ def mutual_information(tall: DataFrame, feature: str = "feature", value: str = "
 def comparison_table(df: DataFrame, group: F.Column, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Features by group: n, missing, mean, std, median for numeric columns;
     count and percent (of the group's rows) per level for categorical ones.
-    Rows whose group is missing are left out."""
+    Rows whose group is missing are left out, and so are columns the frame
+    does not have."""
+    numeric, categorical = ([c for c in wanted if c in df.columns] for wanted in (numeric, categorical))
     g = df.select("*", group.alias("grp")).filter(F.col("grp").isNotNull())
-    num = None
-    for c in numeric:
-        x = F.col(c).cast("double")
-        t = g.groupBy("grp").agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("n_missing"),
-                                 F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                                 F.percentile(x, 0.5).alias("median"))
-        t = t.select(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("level"), "grp", "n",
-                     "n_missing", "mean", "std", "median", F.lit(None).cast("double").alias("pct"))
-        num = t if num is None else num.unionByName(t)
+    tall = g.select("grp", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in numeric
+    ])).alias("s")).select("grp", "s.*")
+    num = tall.groupBy("grp", "feature").agg(
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("n_missing"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    medians = exact_quantiles(tall, ["grp", "feature"], "value", [0.5])
+    num = num.join(medians, ["grp", "feature"], "left").select(
+        "feature", F.lit(None).cast("string").alias("level"), "grp", "n", "n_missing", "mean", "std",
+        F.col("q")[0].alias("median"), F.lit(None).cast("double").alias("pct"))
     long = g.select("grp", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categorical
     ])).alias("s")).select("grp", "s.feature", "s.level")

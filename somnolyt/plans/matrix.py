@@ -56,13 +56,18 @@ def _encode(df: DataFrame, key: str, params: MatrixParams) -> DataFrame:
     return df
 
 
-def fit_model_matrix(df: DataFrame, mode: str = "binario", key: str = KEY,
-                     exact: bool = True) -> tuple[DataFrame, MatrixParams]:
+def _usable(kind: T.DataType) -> bool:
+    """Numbers, flags and text become features; dates, arrays and the like do not."""
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.StringType))
+
+
+def fit_model_matrix(df: DataFrame, mode: str = "binario", key: str = KEY) -> tuple[DataFrame, MatrixParams]:
     """Returns (matrix, params): ``key, features..., label`` with robust-scaled
     features, and the fitted levels / medians / ranges for scoring."""
     target = select_target(df, mode)
     label = F.col(target).cast("int").alias("label")
-    X = df.select(key, *[c for c in df.columns if c not in EXCLUDED and c != key], label)
+    X = df.select(key, *[f.name for f in df.schema.fields
+                         if f.name not in EXCLUDED and f.name != key and _usable(f.dataType)], label)
     text = [f.name for f in X.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
     cats = [c for c in CATEGORICAL if c in X.columns] + [c for c in text if c not in CATEGORICAL]
     params = MatrixParams(mode)
@@ -73,7 +78,7 @@ def fit_model_matrix(df: DataFrame, mode: str = "binario", key: str = KEY,
     feats = [c for c in Xe.columns if c not in (key, "label")]
     Xe = recode.coerce_numeric(Xe, feats, key)
     params.features = feats
-    params.scaling = encode.fit_robust(Xe, feats, exact)
+    params.scaling = encode.fit_robust(Xe, feats)
     return params.scaling.apply(Xe).select(key, *feats, "label"), params
 
 

@@ -12,7 +12,7 @@ from ..sources.cohort import KEY
 
 def preprocess_cohort(df: DataFrame, strategy: str = "knn", key: str = KEY,
                       exclude_from_impute: list[str] | None = None,
-                      return_audit: bool = False, exact: bool = True):
+                      return_audit: bool = False):
     """Returns the preprocessed cohort (and the outlier audit if asked).
 
     The imputed frame is materialised once (checkpoint when the session
@@ -24,7 +24,7 @@ def preprocess_cohort(df: DataFrame, strategy: str = "knn", key: str = KEY,
     df = recode.drop_sparse_rows(df, 0.5, key)
     df = impute.impute(df, strategy, num_cols, key, exclude_cols=exclude_from_impute)
     df = materialize(df)
-    df, audit = outliers.outlier_filter_sequential(df, num_cols, key=key, exact=exact)
+    df, audit = outliers.outlier_filter_sequential(df, num_cols, key=key)
     df = recode.filter_age_range(df)
     df = features.add_derived_features(df)
     return (df, audit) if return_audit else df

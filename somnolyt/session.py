@@ -76,8 +76,16 @@ def materialize(df: DataFrame, reliable: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     if reliable and checkpoint_dir(spark):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.checkpoint(eager=True)
+    else:
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out._somnolyt_materialized = True
+    return out
+
+
+def is_materialized(df: DataFrame) -> bool:
+    """True for a frame that ``materialize`` returned (no second copy needed)."""
+    return getattr(df, "_somnolyt_materialized", False)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
