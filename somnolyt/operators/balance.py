@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .knn import knn_join
+from .quantiles import even_buckets
 from .split import exact_row_number, uniform
 
 
@@ -24,11 +26,14 @@ def class_counts_ratio(df: DataFrame, label: str = "label") -> DataFrame:
                       ratio.alias("ratio"), (ratio > 1.5).alias("needs_balancing"))
 
 
-def _class_counts(df: DataFrame, label: str, max_classes: int = 10000) -> dict:
-    rows = df.groupBy(label).count().collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"{len(rows)} classes exceed max_classes={max_classes}")
-    return {r[label]: r["count"] for r in rows}
+class NoForeignNeighbours(ValueError):
+    """A class to grow has no row with a neighbour of another class."""
+
+
+def _class_counts(df: DataFrame, label: str) -> dict:
+    """Rows per class (the driver plans one draw range per class to grow);
+    rows without a label are no class."""
+    return {r[label]: r["count"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
 
 
 def _interp(base: str, nbr: str, gap: str) -> F.Column:
@@ -47,7 +52,7 @@ def _draws(spark, per_class: dict, seed: int, tag_key: str = "draw") -> DataFram
 
 
 def smote(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id", label: str = "label",
-          vector: str = "vector", id_bucket_rows: int = 1_000_000) -> DataFrame:
+          vector: str = "vector") -> DataFrame:
     """Grow every class to the largest class size with SMOTE draws.
 
     Draw j of class c: base row number ``floor(u(base) * n_c)`` (rows of the
@@ -73,8 +78,7 @@ def smote(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id", label:
     kk = {c: min(k, counts[c] - 1) for c in grow}
     nn = knn_join(minority, minority, "vector", max(kk.values()), qkey="row_id",
                   by=["label"], exclude_self=True)
-    numbered = exact_row_number(minority, ["label"], [F.col("row_id")],
-                                F.floor(F.col("row_id") / F.lit(id_bucket_rows)), "rn")
+    numbered = exact_row_number(minority, ["label"], [F.col("row_id")], even_buckets(minority, "row_id"), "rn")
     nmap = F.create_map(*[x for c in grow for x in (F.lit(c), F.lit(counts[c]))])
     kmap = F.create_map(*[x for c in grow for x in (F.lit(c), F.lit(kk[c]))])
     draws = _draws(spark, grow, seed)
@@ -122,7 +126,8 @@ def remove_tomek(df: DataFrame, key: str = "row_id", label: str = "label", vecto
 
 def smote_tomek(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id",
                 label: str = "label", vector: str = "vector") -> DataFrame:
-    return remove_tomek(smote(df, k, seed, key, label, vector), key, label, vector)
+    grown = materialize(smote(df, k, seed, key, label, vector))  # read several times by the join
+    return remove_tomek(grown, "row_id", "label", "vector")
 
 
 def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id", label: str = "label",
@@ -130,7 +135,7 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id", label
     """ADASYN: per non-majority class, draws per row proportional to the share
     of other-class rows among its k nearest neighbours (all rows), rounded
     half-to-even; each draw interpolates towards a same-class neighbour.
-    Raises ValueError when a class has no other-class neighbour at all (the
+    Raises NoForeignNeighbours when a class has no other-class neighbour at all (the
     caller falls back to SMOTE)."""
     spark = df.sparkSession
     base = df.select(F.col(key).cast("long").alias("row_id"), F.col(label).alias("label"),
@@ -147,11 +152,13 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id", label
     r = (nn_all.join(lab, "nbr").join(minority.select("row_id", "label"), "row_id")
          .groupBy("row_id", "label").agg((F.count_if(F.col("nlabel") != F.col("label")) / F.lit(float(k))).alias("r")))
     gmap = F.create_map(*[x for c in grow for x in (F.lit(c), F.lit(grow[c]))])
-    tot = Window.partitionBy("label")
-    r = r.select("row_id", "label", "r", F.sum("r").over(tot).alias("rsum"))
-    bad = r.filter(F.col("rsum") == 0).select("label").distinct().collect()
+    r = materialize(r)
+    sums = {x["label"]: x["rsum"] for x in r.groupBy("label").agg(F.sum("r").alias("rsum")).collect()}
+    bad = [c for c, total in sorted(sums.items()) if total == 0]
     if bad:
-        raise ValueError(f"no other-class neighbours for classes {[b[0] for b in bad]}")
+        raise NoForeignNeighbours(f"no other-class neighbours for classes {bad}")
+    smap = F.create_map(*[x for c, total in sums.items() for x in (F.lit(c), F.lit(total))])  # one entry a class
+    r = r.withColumn("rsum", smap[F.col("label")])
     g = r.select("row_id", "label",
                  F.bround(F.col("r") / F.col("rsum") * gmap[F.col("label")], 0).cast("long").alias("g"))
     g = g.filter(F.col("g") > 0)
@@ -181,10 +188,10 @@ def adasyn(df: DataFrame, k: int = 5, seed: int = 42, key: str = "row_id", label
     return orig.unionByName(synth)
 
 
-def _prefix(g: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+def _prefix(g: DataFrame) -> DataFrame:
     """Exclusive running sum of ``g`` in (label, row_id) order, computed in
     bounded (label, row_id bucket) windows plus bucket offsets."""
-    b = g.withColumn("_b", F.floor(F.col("row_id") / F.lit(bucket_rows)))
+    b = g.withColumn("_b", even_buckets(g, "row_id"))
     inner = Window.partitionBy("label", "_b").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     local = b.select("label", "row_id", "_b", F.coalesce(F.sum("g").over(inner), F.lit(0)).alias("_lo"))
     bt = b.groupBy("label", "_b").agg(F.sum("g").alias("_bg"))
@@ -203,7 +210,7 @@ def balance(df: DataFrame, mode: str = "binario", k: int = 5, seed: int = 42, **
     if mode == "multiclase":
         try:
             return adasyn(df, k, seed, **kw)
-        except ValueError:
+        except NoForeignNeighbours:
             return smote(df, k, seed, **kw)
     return smote_tomek(df, k, seed, **kw)
 

@@ -123,8 +123,8 @@ def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k:
     """
     by = by or []
     dkey = dkey or qkey
-    qv = query.select(*by, F.col(qkey).cast("long").alias("_q"), _vector(features).alias("_v"))
-    dv = donors.select(*by, F.col(dkey).cast("long").alias("_d"), _vector(features).alias("_v"))
+    qv = query.select(*[F.col(b).alias(b) for b in by], F.col(qkey).cast("long").alias("_q"), _vector(features).alias("_v"))
+    dv = donors.select(*[F.col(b).alias(b) for b in by], F.col(dkey).cast("long").alias("_d"), _vector(features).alias("_v"))
     grouped, _, _ = _blocked(qv, dv, "_q", "_d", by, q_block_rows, d_block_rows)
     by_types = {f.name: f.dataType for f in query.schema.fields if f.name in by}
     schema = T.StructType([T.StructField(b, by_types[b]) for b in by] + [

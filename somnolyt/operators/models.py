@@ -8,28 +8,37 @@ operators apply unchanged.
 
 from __future__ import annotations
 
+import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+                                       RandomForestClassifier)
+from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encode, evaluate, split
+from ..session import materialize
+from . import balance, encode, evaluate, recode, split
 
 # Default hyper-parameters of the reference models.
-RF_DEFAULTS = dict(numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
+RF_DEFAULTS = dict(maxBins=64, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
 GBT_DEFAULTS = dict(maxIter=100, stepSize=0.1, maxDepth=3, subsamplingRate=1.0, seed=42)
 SVM_DEFAULTS = dict(C=10.496, gamma=2.912, tol=0.01)
 
-# Random-search spaces (uniform ranges are [lo, lo + width]).
+# Random-search spaces (uniform ranges are [lo, lo + width], integers [lo, hi)).
+# A depth of None (no limit) is 30, the deepest tree Spark grows; deeper choices are cut to it.
 GBT_SPACE = {"maxIter": ("int", 50, 300), "stepSize": ("uniform", 0.01, 0.3), "maxDepth": ("int", 3, 10),
-             "subsamplingRate": ("uniform", 0.6, 0.4)}
-SVM_SPACE = {"C": ("uniform", 0.001, 30.0), "gamma": ("uniform", 0.001, 5.0)}
-RF_SPACE = {"numTrees": ("int", 100, 500), "maxDepth": ("int", 5, 30)}
+             "minInstancesPerNode": ("int", 1, 10), "subsamplingRate": ("uniform", 0.6, 0.4)}
+SVM_SPACE = {"C": ("uniform", 0.001, 30.0), "gamma": ("uniform", 0.0001, 20.0)}
+RF_SPACE = {"numTrees": ("int", 50, 300), "maxDepth": ("choice", [30, 10, 20, 30, 30, 30]),
+            "minInstancesPerNode": ("int", 1, 10), "bootstrap": ("choice", [True, False]),
+            "featureSubsetStrategy": ("choice", ["sqrt", "log2", "all", "0.3", "0.5", "0.7"])}
+SEARCH_SCORE = {"GradientBoosting": "roc_auc", "SVM": "recall", "RandomForest": "recall"}
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
@@ -41,13 +50,28 @@ def _weighted(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(w), label)
 
 
-def build(model: str, features: list[str], multiclass: bool, params: dict | None = None) -> Pipeline:
+#: Iterations of the linear SVM (``maxIter`` in params overrides it).
+SVM_MAX_ITER = 100
+
+
+def degree_two_weights(p: int, gamma: float) -> list[float]:
+    """Factors that turn Spark's degree-2 expansion (for each i: x_i, then
+    x_0 x_i ... x_i x_i) into the feature map of the kernel (gamma x.y)^2:
+    squares by gamma, cross terms by sqrt(2) gamma, linear terms dropped."""
+    out = []
+    for i in range(p):
+        out += [0.0, *[math.sqrt(2.0) * gamma] * i, gamma]
+    return out
+
+
+def build(model: str, features: list[str], multiclass: bool, params: dict | None = None, n_rows: int = 1) -> Pipeline:
+    """Unfitted pipeline; ``n_rows`` (training rows) sets the SVM's 1 / (C n)."""
     params = dict(params or {})
     stages = [_assembler(features)]
     if model == "RandomForest":
         p = {**RF_DEFAULTS, **params}
         clf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="_w",
-                                     maxBins=64, cacheNodeIds=True, maxMemoryInMB=1024, **p)
+                                     cacheNodeIds=True, maxMemoryInMB=1024, **p)
         stages.append(clf)
     elif model == "GradientBoosting":
         p = {**GBT_DEFAULTS, **params}
@@ -56,9 +80,11 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
     elif model == "SVM":
         p = {**SVM_DEFAULTS, **params}
         stages.append(PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"))
-        svc = LinearSVC(labelCol="label", featuresCol="poly", regParam=1.0 / (p["C"] * 1000.0),
-                        tol=p["tol"], maxIter=100)
-        stages.append(OneVsRest(classifier=svc, labelCol="label", featuresCol="poly") if multiclass else svc)
+        stages.append(ElementwiseProduct(scalingVec=Vectors.dense(degree_two_weights(len(features), p["gamma"])),
+                                         inputCol="poly", outputCol="mapped"))
+        svc = LinearSVC(labelCol="label", featuresCol="mapped", regParam=1.0 / (p["C"] * max(1, n_rows)),
+                        tol=p["tol"], maxIter=p.get("maxIter", SVM_MAX_ITER))
+        stages.append(OneVsRest(classifier=svc, labelCol="label", featuresCol="mapped") if multiclass else svc)
     else:
         raise ValueError(f"unknown model {model!r}")
     return Pipeline(stages=stages)
@@ -66,8 +92,10 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
 
 def fit(matrix: DataFrame, features: list[str], model: str = "RandomForest",
         multiclass: bool = False, params: dict | None = None) -> PipelineModel:
+    if model == "SVM":
+        return _fit_svm(matrix, features, multiclass, params)
     if model != "RandomForest":
-        return build(model, features, multiclass, params).fit(matrix)   # GBT / SVM cache their own input
+        return build(model, features, multiclass, params).fit(matrix)   # boosting caches its own input
     # the forest rescans its input once per tree level: keep it materialised
     data = _weighted(matrix).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -76,6 +104,33 @@ def fit(matrix: DataFrame, features: list[str], model: str = "RandomForest",
         data.unpersist()
 
 
+def _fit_svm(matrix: DataFrame, features: list[str], multiclass: bool, params: dict | None, folds: int = 3) -> PipelineModel:
+    """Linear SVM on the degree-2 map; in binary mode a logistic unit fitted on
+    out-of-fold margins turns margins into probabilities."""
+    def trained(df: DataFrame) -> PipelineModel:
+        return build("SVM", features, multiclass, params, df.count()).fit(df)
+    if multiclass:
+        return trained(matrix)
+    draw = split.uniform(F.lit("platt"), *[F.col(c) for c in matrix.columns if c not in features and c != "label"])
+    folded = matrix.withColumn("_fold", F.floor(draw * folds)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        margins = None
+        for f in range(folds):
+            part = folded.filter(F.col("_fold") != f)
+            if part.select("label").distinct().count() < 2:
+                continue
+            m = trained(part).transform(folded.filter(F.col("_fold") == f)).select("label", "rawPrediction")
+            margins = m if margins is None else margins.unionByName(m)
+        whole = trained(folded)
+        if margins is None:
+            return whole
+        platt = LogisticRegression(labelCol="label", featuresCol="rawPrediction", predictionCol="platt_prediction",
+                                   rawPredictionCol="platt_margin", probabilityCol="probability").fit(margins)
+        return PipelineModel(stages=[*whole.stages, platt])
+    finally:
+        folded.unpersist()
+
+
 def predict(model: PipelineModel, df: DataFrame, key: str = "row_id") -> DataFrame:
     """(key, label, prediction, score, scores[]): score is the positive-class
     probability (binary) or the predicted class probability."""
@@ -88,7 +143,7 @@ def predict(model: PipelineModel, df: DataFrame, key: str = "row_id") -> DataFra
         raw = vector_to_array("rawPrediction")
         two = F.array(F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(-raw[1])),
                       F.lit(1.0) / (F.lit(1.0) + F.exp(-raw[1])))
-        ex = F.transform(raw, lambda x: F.exp(x))
+        ex = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))  # the largest margin becomes 1: no overflow
         soft = F.transform(ex, lambda x: x / F.aggregate(ex, F.lit(0.0), lambda a, b: a + b))
         probs = F.when(F.size(raw) == 2, two).otherwise(soft)
     out = out.select(key, *(["label"] if "label" in df.columns else []),
@@ -108,13 +163,37 @@ def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
+def balanced(matrix: DataFrame, features: list[str], mode: str = "binario", key: str = "row_id", seed: int = 42) -> DataFrame:
+    """The matrix (key, features..., label) after the balancing policy, with
+    is_synthetic; missing and infinite features are 0 beforehand."""
+    filled = recode.fill_and_finite(matrix, features, key)
+    vector = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    rows = balance.balance(filled.select(F.col(key).alias("row_id"), "label", vector.alias("vector")), mode, seed=seed)
+    return rows.select(F.col("row_id").alias(key), *[F.col("vector")[i].alias(c) for i, c in enumerate(features)],
+                       "label", "is_synthetic")
+
+
+def holdout(matrix: DataFrame, key: str = "row_id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of the stratified 80/20 split; rows without a label are in neither."""
+    sp = split.stratified_split(matrix.filter(F.col("label").isNotNull()), "label", key, 0.2, seed)
+    return tuple(sp.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+
+
 def train_evaluate(matrix: DataFrame, features: list[str], model: str = "RandomForest",
-                   mode: str = "binario", key: str = "row_id", seed: int = 42):
-    """Stratified 80/20 split, fit on train, score test; returns
-    (model, test predictions, tall metrics)."""
-    sp = split.stratified_split(matrix, "label", key, 0.2, seed)
-    train = sp.filter(F.col("split") == "train").drop("split")
-    test = sp.filter(F.col("split") == "test").drop("split")
+                   mode: str = "binario", key: str = "row_id", seed: int = 42, balance_scope: str = "train"):
+    """Stratified 80/20 split, balance and fit the train part, score the test
+    part; returns (model, test predictions, tall metrics).
+
+    ``balance_scope``: "train" (synthetic rows never reach the test part),
+    "all" (balance before the split) or "none"."""
+    if balance_scope not in ("train", "all", "none"):
+        raise ValueError(f"unknown balance_scope {balance_scope!r}")
+    matrix = recode.fill_and_finite(matrix, features, key)
+    if balance_scope == "all":
+        matrix = materialize(balanced(matrix, features, mode, key, seed).drop("is_synthetic"))
+    train, test = holdout(matrix, key, seed)
+    if balance_scope == "train":
+        train = materialize(balanced(train, features, mode, key, seed).drop("is_synthetic"))
     m = fit(train, features, model, mode == "multiclase")
     pred = predict(m, test, key)
     return m, pred, metrics_table(pred, mode)
@@ -131,9 +210,13 @@ def metrics_table(pred: DataFrame, mode: str = "binario") -> DataFrame:
                                                      F.col("average_precision").alias("value"))
         return head.unionByName(auc).unionByName(ap)
     mm = evaluate.macro_metrics(pred)
-    return mm.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+    head = mm.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
                                          for m in ("accuracy", "precision_macro", "recall_macro", "f1_macro")]))
                      .alias("t")).select("t.*")
+    per = pred.select("label", F.posexplode("scores").alias("class", "s")).select(
+        "class", (F.col("label") == F.col("class")).cast("int").alias("y"), "s")
+    ovr = evaluate.roc_auc(per, "s", "y", by=["class"]).agg(F.avg("auc").alias("value"))
+    return head.unionByName(ovr.select(F.lit("roc_auc_ovr_macro").alias("metric"), "value"))
 
 
 def cv_scores(matrix: DataFrame, features: list[str], model: str = "RandomForest",
@@ -159,44 +242,94 @@ def sample_params(space: dict, n_iter: int, seed: int = 42) -> list[dict]:
     out = []
     for _ in range(n_iter):
         p = {}
-        for name, (kind, lo, hi) in space.items():
-            p[name] = rng.randrange(lo, hi) if kind == "int" else lo + rng.random() * hi
+        for name, (kind, *values) in space.items():
+            p[name] = (rng.choice(values[0]) if kind == "choice" else rng.randrange(*values) if kind == "int"
+                       else values[0] + rng.random() * values[1])
         out.append(p)
     return out
 
 
+def _search_score(pred: DataFrame, mode: str, score: str) -> float:
+    if mode != "binario":
+        return float(evaluate.macro_metrics(pred).first()["recall_macro"])
+    if score == "roc_auc":
+        return float(evaluate.roc_auc(pred).first()["auc"])
+    return float(evaluate.binary_metrics(pred).first()[score])
+
+
 def random_search(matrix: DataFrame, features: list[str], model: str = "GradientBoosting",
                   space: dict | None = None, n_iter: int = 50, k: int = 5, mode: str = "binario",
-                  key: str = "row_id", seed: int = 42) -> DataFrame:
-    """Trials table (trial, params, mean_score, std_score) over k folds."""
+                  key: str = "row_id", seed: int = 42, score: str | None = None, parallelism: int = 4) -> DataFrame:
+    """Trials table (trial, params, mean_score, std_score, mean_train_score)
+    over k folds.  Fits run side by side; the scores are the reference's
+    (boosting: ROC-AUC, else recall; macro recall with four classes), and the
+    4-class SVM is searched on standardised features."""
     space = space or {"GradientBoosting": GBT_SPACE, "SVM": SVM_SPACE, "RandomForest": RF_SPACE}[model]
-    folded = split.stratified_folds(matrix, "label", key, k, seed).cache()
+    score = score or SEARCH_SCORE[model]
+    matrix = recode.fill_and_finite(matrix, features, key)
+    if model == "SVM" and mode == "multiclase":
+        matrix = encode.fit_standard(matrix, features).apply(matrix)
+    folded = materialize(split.stratified_folds(matrix, "label", key, k, seed))
+    trials = sample_params(space, n_iter, seed)
+
+    def one(job: tuple[int, int]) -> tuple[float, float]:
+        t, f = job
+        train, test = folded.filter(F.col("fold") != f).drop("fold"), folded.filter(F.col("fold") == f).drop("fold")
+        m = fit(train, features, model, mode == "multiclase", trials[t])
+        return (_search_score(predict(m, test, key), mode, score), _search_score(predict(m, train, key), mode, score))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        got = list(pool.map(one, [(t, f) for t in range(n_iter) for f in range(k)]))
     rows = []
-    for t, p in enumerate(sample_params(space, n_iter, seed)):
-        scores = []
-        for f in range(k):
-            m = fit(folded.filter(F.col("fold") != f).drop("fold"), features, model, mode == "multiclase", p)
-            pred = predict(m, folded.filter(F.col("fold") == f).drop("fold"), key)
-            if mode == "binario":
-                s = evaluate.binary_metrics(pred).first()["recall"]
-            else:
-                s = evaluate.macro_metrics(pred).first()["recall_macro"]
-            scores.append(float(s))
-        mean = sum(scores) / k
-        std = (sum((x - mean) ** 2 for x in scores) / k) ** 0.5
-        rows.append((t, str(p), mean, std))
-    spark = matrix.sparkSession
-    return spark.createDataFrame(rows, "trial int, params string, mean_score double, std_score double")
+    for t, p in enumerate(trials):
+        test, train = zip(*got[t * k:(t + 1) * k])
+        mean = sum(test) / k
+        rows.append((t, str(p), mean, (sum((x - mean) ** 2 for x in test) / k) ** 0.5, sum(train) / k))
+    return matrix.sparkSession.createDataFrame(
+        rows, "trial int, params string, mean_score double, std_score double, mean_train_score double")
+
+
+def search_report(matrix: DataFrame, features: list[str], trials: DataFrame, model: str, mode: str = "binario",
+                  key: str = "row_id", seed: int = 42) -> DataFrame:
+    """Metrics on the test split of the best trial's parameters, refitted:
+    (params, metric, value)."""
+    import ast
+    best = top_trials(trials, 1).first()["params"]
+    train, test = holdout(recode.fill_and_finite(matrix, features, key), key, seed)
+    m = fit(train, features, model, mode == "multiclase", ast.literal_eval(best))
+    return metrics_table(predict(m, test, key), mode).select(F.lit(best).alias("params"), "metric", "value")
 
 
 def top_trials(trials: DataFrame, n: int = 5) -> DataFrame:
     return trials.orderBy(F.desc("mean_score"), "trial").limit(n)
 
 
-def save(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel, path: str, params=None, metrics: DataFrame | None = None) -> str:
+    """Write a fitted pipeline with all that scoring needs beside it: the
+    matrix parameters (JSON) and the metrics table.  An empty pipeline is
+    refused, and so is a path that exists."""
+    if model is None or not getattr(model, "stages", None):
+        raise ValueError("an empty model is not saved")
+    model.write().save(f"{path}/pipeline")
+    spark = metrics.sparkSession if metrics is not None else SparkSession.active()
+    if params is not None:
+        spark.createDataFrame([(params.to_json(),)], "value string").coalesce(1).write.text(f"{path}/params")
+    if metrics is not None:
+        metrics.write.parquet(f"{path}/metrics")
     return path
 
 
 def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    """The pipeline that ``save`` wrote."""
+    return PipelineModel.load(f"{path}/pipeline")
+
+
+def load_params(path: str):
+    """The matrix parameters that ``save`` wrote."""
+    from ..plans.matrix import MatrixParams
+    return MatrixParams.from_json(SparkSession.active().read.text(f"{path}/params").first()["value"])
+
+
+def load_named(root: str, names: list[str]) -> dict[str, PipelineModel]:
+    """Saved models by name under one folder."""
+    return {name: load(f"{root}/{name}") for name in names}

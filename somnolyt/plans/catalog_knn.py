@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import impute, knn, recode
+from ..session import scratch_path
 from ..sources import cohort as src
 from . import oracle_sql as O
 from .catalog import _PRE_DOUBLES, _RECODED_COLS, _preprocessed, _recoded
@@ -115,7 +118,15 @@ def q_smote(spark, sf_dir):
     return _tall(balance.smote(embeddings_binary(spark, sf_dir)))
 
 
-_TOMEK = """nn1 AS (SELECT * FROM (SELECT a.row_id AS a, b.row_id AS b, a.label AS la, b.label AS lb,
+@query("sink_resampled", f"WITH {_emb_sql('label < 2')},\n{_smote_ctes()}\n" + _TALL_SQL.format(src="sm"))
+def q_sink_resampled(spark, sf_dir):
+    """Resampled rows written as Parquet partitioned by is_synthetic and read back."""
+    path = scratch_path(spark, f"sink/resampled-{uuid.uuid4().hex}")
+    balance.smote(embeddings_binary(spark, sf_dir)).write.partitionBy("is_synthetic").parquet(path)
+    return _tall(spark.read.parquet(path))
+
+
+_TOMEK = """nn1 AS MATERIALIZED (SELECT * FROM (SELECT a.row_id AS a, b.row_id AS b, a.label AS la, b.label AS lb,
         row_number() OVER (PARTITION BY a.row_id ORDER BY {d2}, b.row_id) AS rk
         FROM {src} a JOIN {src} b ON a.row_id <> b.row_id) WHERE rk = 1),
 links AS (SELECT x.a, x.b, x.la, x.lb FROM nn1 x JOIN nn1 y ON x.a = y.b AND x.b = y.a WHERE x.la <> x.lb)"""

@@ -3,6 +3,8 @@ checks: learned models are compared by quality, not by value)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import models
@@ -71,19 +73,21 @@ def q_compare(spark, sf_dir):
 def q_roundtrip(spark, sf_dir):
     """Save the fitted pipeline, load it back and score the test split."""
     m, params = _matrix(spark, sf_dir)
-    model, pred, metrics = models.train_evaluate(m, params.features, "RandomForest", "binario", key=KEY)
-    path = models.save(model, scratch_path(spark, "models/binario_RandomForest"))
-    loaded = models.load(path)
-    again = models.predict(loaded, m, KEY)
-    return again.select(KEY, "label", "prediction", "score")
+    model, _, metrics = models.train_evaluate(m, params.features, "RandomForest", "binario", key=KEY)
+    root = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    models.save(model, f"{root}/binario_RandomForest", params, metrics)
+    loaded = models.load_named(root, ["binario_RandomForest"])["binario_RandomForest"]
+    _, test = models.holdout(m, KEY)
+    return models.predict(loaded, test, KEY).select(KEY, "label", "prediction", "score")
 
 
 @query("batch_score")
 def q_batch_score(spark, sf_dir):
-    """Class and positive-class probability for every cohort row."""
+    """A saved model, loaded by path, scores every cohort row."""
     m, params = _matrix(spark, sf_dir)
-    model = models.fit(m, params.features, "RandomForest")
-    return models.predict(model, m, KEY).select(KEY, "prediction", "score")
+    path = scratch_path(spark, f"models-{uuid.uuid4().hex}/RandomForest")
+    models.save(models.fit(m, params.features, "RandomForest"), path, params)
+    return models.predict(models.load(path), m, KEY).select(KEY, "prediction", "score")
 
 
 @query("score_new_patients")

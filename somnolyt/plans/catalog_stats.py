@@ -15,7 +15,7 @@ from ..sources import cohort as src
 from . import oracle_sql as O
 from .catalog import _PRE_DOUBLES, _preprocessed
 from .catalog_eval import MULTI_SQL, scored_multi
-from .catalog_matrix import _matrix_sql, _pre_split_sql
+from .catalog_matrix import _matrix_sql, _pre_split_sql, _split_sql
 from .matrix import fit_model_matrix, to_tall
 from .registry import query
 
@@ -154,7 +154,7 @@ def q_sink(spark, sf_dir):
 
 @query("sink_splits", _pre_split_sql("split"))
 def q_sink_splits(spark, sf_dir):
-    """train/test rows written partitioned by split (Parquet) and read back."""
+    """train/test keys and labels written partitioned by split (Parquet) and read back."""
     lab = _preprocessed(spark, sf_dir).select("patient_id", F.col("apnea").cast("int").alias("label"))
     sp = split.stratified_split(lab, "label", "patient_id")
     path = scratch_path(spark, f"sink/splits-{uuid.uuid4().hex}")
@@ -162,6 +162,48 @@ def q_sink_splits(spark, sf_dir):
     return spark.read.parquet(path).select("patient_id", "label", "split")
 
 
+_LAST = O.preprocessed_chain("median")[1]
+
+
+def _sink_xy_sql():
+    parts = []
+    for mode, label in (("binario", "apnea"), ("multiclase", "apnea_severity_ordinal")):
+        parts.append("SELECT * FROM (" + _matrix_sql(label).sql(f"""SELECT '{mode}' AS mode, patient_id,
+  CAST(label AS INTEGER) AS label, feature,
+  round((raw - med) / CASE WHEN q3 - q1 = 0 THEN 1 ELSE q3 - q1 END, 6) AS value FROM tall JOIN sc USING (feature)""") + ")")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("sink_xy", _sink_xy_sql())
+def q_sink_xy(spark, sf_dir):
+    """A5: feature matrix and label of each mode, written as Parquet partitioned
+    by mode and read back (long form)."""
+    pre, path, names = _preprocessed(spark, sf_dir), scratch_path(spark, f"sink/xy-{uuid.uuid4().hex}"), []
+    for mode in ("binario", "multiclase"):
+        m, params = fit_model_matrix(pre, mode)
+        names = params.features
+        m.write.parquet(f"{path}/mode={mode}")
+    return to_tall(spark.read.parquet(path), names, keep=["mode", "label"])
+
+
+def _split_matrix_sql():
+    ch = _matrix_sql()
+    ch.add("sp", _split_sql(_LAST, "patient_id", "CAST(apnea AS INTEGER)"))
+    return ch.sql("""SELECT tall.patient_id, CAST(tall.label AS INTEGER) AS label, sp.split, feature,
+  round((raw - med) / CASE WHEN q3 - q1 = 0 THEN 1 ELSE q3 - q1 END, 6) AS value
+FROM tall JOIN sc USING (feature) JOIN sp ON sp.patient_id = tall.patient_id""")
+
+
+@query("sink_split_matrix", _split_matrix_sql())
+def q_sink_split_matrix(spark, sf_dir):
+    """Full train and test rows (features and label) written partitioned by
+    split and read back (long form)."""
+    m, params = fit_model_matrix(_preprocessed(spark, sf_dir), "binario")
+    path = scratch_path(spark, f"sink/split-matrix-{uuid.uuid4().hex}")
+    split.stratified_split(m, "label", "patient_id").write.partitionBy("split").parquet(path)
+    return to_tall(spark.read.parquet(path), params.features, keep=["label", "split"])
+
+
 CMP_NUM = ["nsrr_age", "nsrr_bmi", "nsrr_bp_systolic", "nsrr_bp_diastolic"]
 CMP_CAT = ["nsrr_sex", "nsrr_current_smoker", "nsrr_ever_smoker", "nsrr_race", "nsrr_ethnicity"]
 _GRP_SQL = "CASE WHEN nsrr_ahi_hp3r_aasm15 < 5 THEN 'AHI < 5' WHEN nsrr_ahi_hp3r_aasm15 >= 5 THEN 'AHI >= 5' END"
