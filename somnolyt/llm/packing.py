@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,52 +34,70 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .storage import stored
-from .textkit import TwoGenerationCache, batch_of, words_of
+from .textkit import TwoGenerationCache, batch_of, coded_words, gather, slices
 
 LENGTH = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
-MEMO_ENTRIES = 300_000
+_END = np.array([END_ID], "<u2").tobytes()
+#: Entries of one generation of a worker's memo; texts and new pieces that go
+#: through at a time.
+MEMO_ENTRIES, TEXTS_AT_ONCE, PIECES_AT_ONCE = 500_000, 1000, 2000
 
 #: The pre-tokenizer pattern of the public vocabulary file (fixed value).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The usual byte-level alphabet: printable bytes stand for themselves,
-    the others for the letters from 256 on."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class WordTokenizer:
     """Ids of the public word tokenizer, worked out once per distinct word.
 
     The tokenizer drops white space and no merge crosses it, so a text's ids
-    are its words' ids in order.  Latin-1 words need no normal form and are
-    lower-cased here; the rest goes through the library's whole pipeline."""
+    are its words' ids in order.  Latin-1 words need no normal form; they are
+    lower-cased and cut into the tokenizer's own pieces here, and many new
+    pieces go through the library as one text: each piece's ids end in the one
+    id that ends a word.  All other words go through the library one by one."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.model = self.library.model
-        self.letters = _byte_letters()
-        self.words = TwoGenerationCache(self._word, MEMO_ENTRIES)
-        self.pieces = TwoGenerationCache(self._piece, MEMO_ENTRIES)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode()))))
-
-    def _word(self, word: bytes) -> tuple[int, ...]:
-        text = word.decode("utf-8")
-        if max(text) > "\xff":
-            return tuple(self.library.encode(text, add_special_tokens=False).ids)
-        return tuple(chain.from_iterable(self.pieces.many(_PIECE.findall(text.lower()))))
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text as unsigned 16-bit numbers (null: none)."""
-        return np.fromiter(chain.from_iterable(self.words.many(words_of(text))), dtype=np.uint16)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = TwoGenerationCache(None, MEMO_ENTRIES)
+        self.pieces = TwoGenerationCache(None, MEMO_ENTRIES)
+
+    def _library_ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, as little-endian unsigned 16-bit numbers."""
+        out = []
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            part = pieces[at:at + PIECES_AT_ONCE]
+            ids = self._library_ids(" ".join(part))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            raw = ids.astype("<u2").tobytes()
+            if len(stops) != len(part):  # a piece that is more than one word to the library
+                out.extend(self._library_ids(p).astype("<u2").tobytes() for p in part)
+                continue
+            starts = [0, *(2 * stops[:-1]).tolist()]
+            out.extend(raw[a:b] for a, b in zip(starts, (2 * stops).tolist()))
+        return out
+
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        simple = [max(w) <= "\xff" for w in words]
+        cut = [_PIECE.findall(w.lower()) if s else [] for w, s in zip(words, simple)]
+        parts = self.pieces.many_lists(cut, self._new_pieces)
+        return [b"".join(p) if s else self._library_ids(w).astype("<u2").tobytes() for w, s, p in zip(words, simple, parts)]
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts as unsigned 16-bit numbers (null: none)."""
+        words, codes, ends = coded_words(texts)
+        (values,) = self.words.many_lists([words], self._new_words)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 2
+        ids = gather(np.frombuffer(b"".join(values), "<u2"), lengths, codes)
+        stops = np.r_[0, np.cumsum(lengths[codes])][ends]
+        return np.split(ids, stops[:-1])
 
 
 @lru_cache(maxsize=2)
@@ -136,15 +153,15 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     ending in the end id, key the Hilbert index of the document's point."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, table = word_tokenizer(path), signs()
-        for batch in batches:
-            counts, blobs, points = [], [], np.zeros((batch.num_rows, DIMENSIONS))
-            for i, text in enumerate(batch.column(2)):
-                ids = code.ids(text.as_py())
-                if len(ids):
-                    points[i] = table[ids].sum(axis=0, dtype=np.int64) / np.sqrt(len(ids))
-                counts.append(len(ids) + 1)
-                blobs.append(np.append(ids, np.uint16(END_ID)).tobytes())
-            yield batch_of(TOKENS, batch.column(0), batch.column(1), hilbert_index(cells(points)), counts, blobs)
+        for whole in batches:
+            for batch in slices(whole, TEXTS_AT_ONCE):
+                counts, blobs, points = [], [], np.zeros((batch.num_rows, DIMENSIONS))
+                for i, ids in enumerate(code.ids(batch.column(2))):
+                    if len(ids):
+                        points[i] = table.take(ids, axis=0).sum(axis=0, dtype=np.int64) / np.sqrt(len(ids))
+                    counts.append(len(ids) + 1)
+                    blobs.append(ids.tobytes() + _END)
+                yield batch_of(TOKENS, batch.column(0), batch.column(1), hilbert_index(cells(points)), counts, blobs)
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"), "text")
     return rows.mapInArrow(task, "doc_id long, uid long, key long, n long, ids binary")
 

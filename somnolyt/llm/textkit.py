@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(words, codes, ends): the distinct words of a batch of texts, a code per
+    word occurrence, and where each text's codes end.  Null texts have none."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    full = pc.not_equal(pc.binary_length(lists.values), 0)
+    ends = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))][lists.offsets.to_numpy()]
+    coded = lists.values.filter(full).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends[1:]
+
+
+def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Concatenation of the parts that the codes name, where part i is
+    ``lengths[i]`` items of ``flat`` after those of the parts before it."""
+    starts, n = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
@@ -59,9 +80,7 @@ class TwoGenerationCache:
             value = self.old.get(key)
             if value is None:
                 value = self.make(key)
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+            self._keep(key, value)
         return value
 
     def many(self, keys) -> list:
@@ -73,6 +92,33 @@ class TwoGenerationCache:
                     found[i] = self(keys[i])
         return found
 
+    def many_lists(self, listed: list[list], make_many) -> list[list]:
+        """Values of several key lists.  Each distinct key is looked up once,
+        and what is missing is made in one call of ``make_many(keys)``, which
+        returns values in the order of the keys."""
+        values = dict.fromkeys(chain.from_iterable(listed))
+        young, old, fresh = self.young.get, self.old.get, []
+        for key in values:
+            value = young(key)
+            if value is None:
+                value = old(key)
+                fresh.append(key) if value is None else self._keep(key, value)
+            values[key] = value
+        for key, value in zip(fresh, make_many(fresh) if fresh else ()):
+            values[key] = value
+            self._keep(key, value)
+        return [list(map(values.__getitem__, keys)) for keys in listed]
+
+    def _keep(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def slices(batch: pa.RecordBatch, rows: int):
+    """The batch in parts of ``rows`` rows, to bound what is held at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
