@@ -25,8 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-
 
 def _vector(cols: list[str] | str) -> F.Column:
     if isinstance(cols, str):
@@ -37,8 +35,7 @@ def _vector(cols: list[str] | str) -> F.Column:
 def _matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
-    return np.array([np.asarray(v, dtype=float) if v is not None else [] for v in series.tolist()],
-                    dtype=float)
+    return np.stack(series.to_numpy()).astype(float)
 
 
 def pair_d2(Q: np.ndarray, D: np.ndarray) -> np.ndarray:
@@ -113,8 +110,8 @@ def _blocked(query: DataFrame, donors: DataFrame, qkey: str, dkey: str, by: list
 
 def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k: int,
              qkey: str = "row_id", dkey: str | None = None, by: list[str] | None = None,
-             exclude_self: bool = False, q_block_rows: int = 2048,
-             d_block_rows: int = 8192) -> DataFrame:
+             exclude_self: bool = False, q_block_rows: int = 1024,
+             d_block_rows: int = 4096) -> DataFrame:
     """For each query row: its k nearest donors (same ``by`` group).
 
     Returns ``(by..., qkey, nbr, d2, rank)`` with rank 1..k by (d2, nbr).
@@ -139,13 +136,10 @@ def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k:
         d2 = pair_d2(Q, D)
         if exclude_self:
             d2[qk[:, None] == dk[None, :]] = np.nan
-        rows_q, rows_d, rows_v = [], [], []
-        for i, idx in enumerate(_top_k(d2, dk, k)):
-            rows_q += [qk[i]] * len(idx)
-            rows_d += dk[idx].tolist()
-            rows_v += d2[i, idx].tolist()
-        out = pd.DataFrame({"_q": np.array(rows_q, dtype="int64"), "nbr": np.array(rows_d, dtype="int64"),
-                            "d2": np.array(rows_v, dtype=float)})
+        picks = _top_k(d2, dk, k)
+        rows = np.repeat(np.arange(len(qk)), [len(p) for p in picks])
+        picked = np.concatenate(picks).astype(int)
+        out = pd.DataFrame({"_q": qk[rows].astype("int64"), "nbr": dk[picked].astype("int64"), "d2": d2[rows, picked]})
         for b in by:
             out.insert(0, b, qpdf[b].iloc[0])
         return out[[f.name for f in schema.fields]]
@@ -232,7 +226,3 @@ def knn_impute(df: DataFrame, cols: list[str], key: str = "patient_id", k: int =
         else:
             out.append(F.col(c))
     return j.select(*out)
-
-
-def knn_impute_materialized(df: DataFrame, cols: list[str], key: str = "patient_id", k: int = 7) -> DataFrame:
-    return materialize(knn_impute(df, cols, key, k))

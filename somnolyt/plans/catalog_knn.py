@@ -123,7 +123,8 @@ def q_sink_resampled(spark, sf_dir):
     """Resampled rows written as Parquet partitioned by is_synthetic and read back."""
     path = scratch_path(spark, f"sink/resampled-{uuid.uuid4().hex}")
     balance.smote(embeddings_binary(spark, sf_dir)).write.partitionBy("is_synthetic").parquet(path)
-    return _tall(spark.read.parquet(path))
+    back = spark.read.parquet(path)
+    return _tall(back.withColumn("is_synthetic", F.col("is_synthetic").cast("boolean")))
 
 
 _TOMEK = """nn1 AS MATERIALIZED (SELECT * FROM (SELECT a.row_id AS a, b.row_id AS b, a.label AS la, b.label AS lb,

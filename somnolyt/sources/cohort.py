@@ -7,7 +7,7 @@ DuckDB oracle, so the two can never drift apart.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,8 +115,11 @@ def load_cohort(spark: SparkSession, path: str, fmt: str = "csv",
         df = spark.read.format(fmt).load(path)
     df = drop_columns(normalize_missing(df))
     if key and key not in df.columns:
-        # A stable key derived from file position; identical on recompute.
-        df = df.withColumn(key, F.monotonically_increasing_id())
+        # A key from the row's content and its number among equal rows, so
+        # that it does not change when the files are split another way.
+        content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        nth = F.row_number().over(Window.partitionBy(content).orderBy(content))
+        df = df.withColumn(key, F.xxhash64(content, nth))
     return df
 
 
