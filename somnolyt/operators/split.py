@@ -7,6 +7,8 @@ Spark and DuckDB: ``u = int(first 8 hex digits of md5(text)) / 2^32``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,31 +57,40 @@ def exact_row_number(df: DataFrame, by: list[str], order: list[Column], bucket:
             .withColumn(name, (F.col("_off") + F.col("_rn")).cast("long")).drop("_rn", "_off", "_n"))
 
 
+def n_buckets(n_rows: int, rows_per_bucket: int) -> int:
+    return max(1, math.ceil(n_rows / rows_per_bucket))
+
+
 #: Buckets of a class in the uniform draw: a task numbers about 1 / 1024 of it.
 DRAW_BUCKETS = 1024
 
 
-def _ranked(df: DataFrame, label: str, key: str, seed: int, tag: str) -> DataFrame:
-    """Adds _u, _rank and _n (class size) from one count table."""
+def _ranked(df: DataFrame, label: str, key: str, seed: int, tag: str, rows_per_bucket: int | None) -> DataFrame:
+    """Adds _u, _rank and _n (class size) from one count table.  With
+    ``rows_per_bucket`` the largest class is counted first to size the buckets."""
     df = df.withColumn("_u", uniform(F.lit(seed), F.col(key), F.lit(tag)))
-    return (_bucketed(df, [label], [F.col("_u"), F.col(key)], F.floor(F.col("_u") * DRAW_BUCKETS))
+    n = DRAW_BUCKETS
+    if rows_per_bucket is not None:
+        n = n_buckets(df.groupBy(label).count().agg(F.max("count")).first()[0] or 0, rows_per_bucket)
+    return (_bucketed(df, [label], [F.col("_u"), F.col(key)], F.floor(F.col("_u") * n))
             .withColumn("_rank", (F.col("_off") + F.col("_rn")).cast("long")).drop("_rn", "_off"))
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "row_id",
-                     test_size: float = 0.2, seed: int = 42) -> DataFrame:
+                     test_size: float = 0.2, seed: int = 42,
+                     rows_per_bucket: int | None = None) -> DataFrame:
     """Adds ``split`` ('train' / 'test'): per class, the rows ranked first by
     md5(seed, key) form the test set, ``floor(test_size * n + 0.5)`` of them.
     Rows without a label are a class of their own."""
-    r = _ranked(df, label, key, seed, "split")
+    r = _ranked(df, label, key, seed, "split", rows_per_bucket)
     n_test = F.floor(F.lit(test_size) * F.col("_n") + F.lit(0.5))
     return (r.withColumn("split", F.when(F.col("_rank") <= n_test, "test").otherwise("train"))
              .drop("_u", "_rank", "_n"))
 
 
 def stratified_folds(df: DataFrame, label: str = "label", key: str = "row_id",
-                     k: int = 5, seed: int = 42) -> DataFrame:
+                     k: int = 5, seed: int = 42, rows_per_bucket: int | None = None) -> DataFrame:
     """Adds ``fold`` in 0..k-1: per class, ``(rank - 1) % k`` in md5 order.
     Rows without a label are a class of their own."""
-    r = _ranked(df, label, key, seed, "fold")
+    r = _ranked(df, label, key, seed, "fold", rows_per_bucket)
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_u", "_rank", "_n")
