@@ -129,7 +129,7 @@ def macro_metrics(df: DataFrame, label="label", prediction="prediction") -> Data
 
 def classification_report(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
     """Per class rows, then accuracy, macro avg and weighted avg."""
-    pc = per_class(df, label, prediction).cache()
+    pc = per_class(df, label, prediction)  # one row a class
     rows = pc.select(F.col("class").cast("string").alias("row"), "precision", "recall", "f1",
                      F.col("n_true").alias("support"))
     total = F.sum("n_true")

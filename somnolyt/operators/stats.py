@@ -1,7 +1,6 @@
 """Statistics: Gaussian KDE, Welch t-test, group comparison table, ANOVA F,
 mutual information.  All reduce data with Spark aggregations; Python only
-touches per-group statistics (bounded by the number of groups) or, for the
-KDE, per-partition partial sums over a fixed 200-point grid.
+adds per-task partial sums over a fixed 200-point grid for the KDE.
 """
 
 from __future__ import annotations
@@ -18,79 +17,64 @@ from .quantiles import exact_quantiles
 
 GRID = 200
 CUT = 3.0
+#: Groups whose grids a task holds at a time.
+GROUPS_HELD = 1000
 
 
 def kde(df: DataFrame, col: str, by: list[str] | None = None, grid: int = GRID,
-        cut: float = CUT, max_groups: int = 10000) -> DataFrame:
+        cut: float = CUT) -> DataFrame:
     """Gaussian KDE on a ``grid``-point line from min - cut*h to max + cut*h,
     Scott bandwidth ``h = std * n^(-1/5)``; per group when ``by`` is given.
 
-    One aggregation gives per-group (n, std, min, max); each partition then
-    adds its rows' kernels to the group grids with numpy and emits one row
-    per grid point (map-side combine); a grouped sum finishes the density.
+    One aggregation gives each group's constants, which are joined to its rows;
+    each task adds its rows' kernels to the grids of the groups it meets (at
+    most GROUPS_HELD at a time) and a grouped sum finishes the density.  Groups
+    of fewer than two values or without spread have no density.
     """
     by = by or []
-    x = F.col(col).cast("double")
-    stats = (df.filter(x.isNotNull()).groupBy(*by)
-             .agg(F.count(x).alias("n"), F.stddev_samp(x).alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
-             .collect())
-    if len(stats) > max_groups:
-        raise ValueError(f"{len(stats)} groups exceed max_groups={max_groups}")
-    params = {}
-    for r in stats:
-        if not r["sd"] or r["n"] < 2:
-            continue
-        h = r["sd"] * math.pow(r["n"], -0.2)
-        lo, hi = r["mn"] - cut * h, r["mx"] + cut * h
-        step = (hi - lo) / (grid - 1)
-        params[tuple(r[b] for b in by)] = (h, lo, step, r["n"])
-    by_fields = [f for f in df.schema.fields if f.name in by]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in by_fields] + [
+    rows = df.select(*by, F.col(col).cast("double").alias(col)).filter(F.col(col).isNotNull())
+    x, n, sd = F.col(col), F.count(col), F.stddev_samp(col)
+    h = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
+    lo, hi = F.col("mn") - cut * F.col("_h"), F.col("mx") + cut * F.col("_h")
+    st = (rows.groupBy(*by).agg(n.alias("n"), sd.alias("sd"), F.min(x).alias("mn"), F.max(x).alias("mx"))
+          .filter((F.col("n") >= 2) & (F.col("sd") > 0)).withColumn("_h", h)
+          .select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], "_h", lo.alias("_lo"),
+                  ((hi - lo) / (grid - 1)).alias("_step"), F.col("n").alias("_n")))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+
+    def with_constants(frame: DataFrame) -> DataFrame:
+        return frame.join(st, same) if by else frame.join(F.broadcast(st))  # one row without groups
+    schema = T.StructType([f for f in df.schema.fields if f.name in by] + [
         T.StructField("point", T.IntegerType()), T.StructField("part", T.DoubleType())])
-    pts = np.arange(grid)
+    points = np.arange(grid)
 
-    def partial(batches):
-        acc = {}
-        for pdf in batches:
-            groups = pdf.groupby(by, dropna=False) if by else [((), pdf)]
-            for g, sub in groups:
-                g = g if isinstance(g, tuple) else (g,)
-                if g not in params:
-                    continue
-                h, lo, step, _ = params[g]
-                xs = sub[col].dropna().to_numpy(dtype=float)
-                grid_x = lo + pts * step
-                z = (grid_x[None, :] - xs[:, None]) / h
-                s = np.exp(-0.5 * z * z).sum(axis=0)
-                acc[g] = acc.get(g, 0.0) + s
+    def held(acc):
         for g, s in acc.items():
-            out = pd.DataFrame({"point": pts.astype("int32"), "part": s})
+            out = pd.DataFrame({"point": points.astype("int32"), "part": s})
             for i, b in enumerate(by):
-                out.insert(i, b, g[i])
+                out.insert(i, b, [None if pd.isna(g[i]) else g[i]] * grid)
             yield out
 
-    parts = df.select(*by, x.alias(col)).mapInPandas(partial, schema)
+    def partial(batches):
+        acc = {}
+        for pdf in batches:
+            for g, sub in pdf.groupby([*by, "_h", "_lo", "_step"], dropna=False, sort=False):
+                *names, width, start, step = g
+                z = ((start + points * step)[None, :] - sub[col].to_numpy(dtype=float)[:, None]) / width
+                key = tuple(names)
+                acc[key] = acc.get(key, 0.0) + np.exp(-0.5 * z * z).sum(axis=0)
+            if len(acc) > GROUPS_HELD:
+                yield from held(acc)
+                acc = {}
+        yield from held(acc)
+
+    parts = with_constants(rows).select(*by, col, "_h", "_lo", "_step").mapInPandas(partial, schema)
     summed = parts.groupBy(*by, "point").agg(F.sum("part").alias("_s"))
-    # per-group constants as a small literal map keyed by the group
-    if by:
-        key = F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by])
-        def k(g):
-            return "\u0001".join("" if v is None else str(v) for v in g)
-    else:
-        key = F.lit("")
-        def k(g):
-            return ""
-    lo_m = F.create_map(*[v for g, p in params.items() for v in (F.lit(k(g)), F.lit(p[1]))])
-    st_m = F.create_map(*[v for g, p in params.items() for v in (F.lit(k(g)), F.lit(p[2]))])
-    norm_m = F.create_map(*[v for g, p in params.items()
-                            for v in (F.lit(k(g)), F.lit(p[3] * p[0] * math.sqrt(2 * math.pi)))])
-    if not params:
-        return df.sparkSession.createDataFrame([], T.StructType(
-            [T.StructField(f.name, f.dataType) for f in by_fields] +
-            [T.StructField("point", T.IntegerType()), T.StructField("x", T.DoubleType()),
-             T.StructField("density", T.DoubleType())]))
-    return summed.select(*by, "point", (lo_m[key] + F.col("point") * st_m[key]).alias("x"),
-                         (F.col("_s") / norm_m[key]).alias("density"))
+    norm = F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)
+    return with_constants(summed).select(*by, "point", (F.col("_lo") + F.col("point") * F.col("_step")).alias("x"),
+                                         (F.col("_s") / norm).alias("density"))
 
 
 def welch_ttest(df: DataFrame, group: str, values: list[str], a, b) -> DataFrame:

@@ -140,6 +140,14 @@ def q_tomek(spark, sf_dir):
     return balance.tomek_links(embeddings_binary(spark, sf_dir))
 
 
+@query("tomek_removed", f"WITH {_emb_sql('label < 2')},\n{_TOMEK.format(d2=_D2, src='emb')}\n"
+       "SELECT row_id, label FROM emb WHERE row_id NOT IN (SELECT a FROM links)")
+def q_tomek_removed(spark, sf_dir):
+    """Rows left when both members of every Tomek link are removed (the
+    embeddings have links before SMOTE and none after it)."""
+    return balance.remove_tomek(embeddings_binary(spark, sf_dir)).select("row_id", "label")
+
+
 @query("smote_tomek", f"WITH {_emb_sql('label < 2')},\n{_smote_ctes()},\n{_TOMEK.format(d2=_D2, src='sm')},\n"
        "kept AS (SELECT * FROM sm WHERE row_id NOT IN (SELECT a FROM links))\n" + _TALL_SQL.format(src="kept"))
 def q_smote_tomek(spark, sf_dir):
