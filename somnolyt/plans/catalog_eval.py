@@ -240,6 +240,18 @@ def q_cv_summary(spark, sf_dir):
     return ev.cv_summary(_fold_aucs(spark, sf_dir))
 
 
+def _class_rows(c: int) -> str:
+    tp = f"count(*) FILTER (WHERE label = {c} AND prediction = {c})"
+    true, said = f"count(*) FILTER (WHERE label = {c})", f"count(*) FILTER (WHERE prediction = {c})"
+    return f"""UNION ALL SELECT 'class', '{c}_precision', round(CASE WHEN {said} > 0 THEN {tp} / {said} ELSE 0 END, 6) FROM scored
+UNION ALL SELECT 'class', '{c}_recall', round(CASE WHEN {true} > 0 THEN {tp} / {true} ELSE 0 END, 6) FROM scored
+UNION ALL SELECT 'class', '{c}_f1', round(CAST(2 * {tp} AS DOUBLE) / ({true} + {said}), 6) FROM scored
+UNION ALL SELECT 'class', '{c}_support', CAST({true} AS DOUBLE) FROM scored"""
+
+
+_CLASS_SQL = "\n".join(_class_rows(c) for c in (0, 1))
+
+
 @query("evaluation_report", _w(SCORED_SQL, _DIST, _FOLD_SQL) + """SELECT 'headline' AS section, name, round(value, 6) AS value FROM (
   SELECT 'accuracy' AS name, avg(CAST(label = prediction AS DOUBLE)) AS value FROM scored
   UNION ALL SELECT 'precision', CASE WHEN count(*) FILTER (WHERE prediction = 1) > 0 THEN
@@ -254,9 +266,11 @@ def q_cv_summary(spark, sf_dir):
      SELECT tp / P AS r, tp / (tp + fp) AS p, lag(tp / P, 1, 0) OVER (ORDER BY score DESC) AS lr FROM cum))
 UNION ALL SELECT 'cv', 'mean', round(avg(auc), 6) FROM fa
 UNION ALL SELECT 'cv', 'min', round(min(auc), 6) FROM fa
-UNION ALL SELECT 'cv', 'max', round(max(auc), 6) FROM fa""")
+UNION ALL SELECT 'cv', 'max', round(max(auc), 6) FROM fa
+""" + _CLASS_SQL)
 def q_eval_report(spark, sf_dir):
-    """Headline metrics and CV stability as one (section, name, value) table."""
+    """Headline metrics, CV stability and per-class metrics as one
+    (section, name, value) table."""
     s = scored_binary(spark, sf_dir)
     bm = ev.binary_metrics(s)
     head = bm.select(F.explode(F.array(*[
@@ -269,4 +283,10 @@ def q_eval_report(spark, sf_dir):
     cvl = cv.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("name"), F.col(m).alias("value")) for m in ("mean", "min", "max")
     ])).alias("t")).select(F.lit("cv").alias("section"), "t.*")
-    return head.unionByName(auc).unionByName(ap).unionByName(cvl)
+    per = ev.per_class(s.filter(F.col("label").isNotNull() & F.col("prediction").isNotNull()))
+    cls = per.select(F.explode(F.array(*[
+        F.struct(F.concat(F.col("class").cast("string"), F.lit(f"_{name}")).alias("name"),
+                 F.col(col).cast("double").alias("value"))
+        for name, col in (("precision", "precision"), ("recall", "recall"), ("f1", "f1"), ("support", "n_true"))
+    ])).alias("t")).select(F.lit("class").alias("section"), "t.*")
+    return head.unionByName(auc).unionByName(ap).unionByName(cvl).unionByName(cls)

@@ -215,20 +215,24 @@ def q_boxplot(spark, sf_dir):
     return profile.boxplot_stats(src.cohort(spark, sf_dir), COHORT_NSRR_NUM)
 
 
-def _boxplot_by_sql():
+def _boxplot_by_sql(by="apnea_severity", groups=None):
+    """``groups`` turns the preprocessed cohort into the grouped table."""
     ch, last = O.preprocessed_chain("median")
+    if groups:
+        ch.add("grouped", groups.format(src=last))
+        last = "grouped"
     parts = []
     for i, c in enumerate(CLINICAL):
-        ch.add(f"bq{i}", f"""SELECT apnea_severity, quantile_cont({_d(c)}, 0.25) AS q1, quantile_cont({_d(c)}, 0.5) AS med,
-  quantile_cont({_d(c)}, 0.75) AS q3 FROM {last} WHERE {c} IS NOT NULL GROUP BY apnea_severity""")
+        ch.add(f"bq{i}", f"""SELECT {by}, quantile_cont({_d(c)}, 0.25) AS q1, quantile_cont({_d(c)}, 0.5) AS med,
+  quantile_cont({_d(c)}, 0.75) AS q3 FROM {last} WHERE {c} IS NOT NULL GROUP BY {by}""")
         ch.add(f"bb{i}", f"SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM bq{i}")
-        parts.append(f"""SELECT t.apnea_severity, '{c}' AS "column", CAST(count(*) AS BIGINT) AS n,
+        parts.append(f"""SELECT t.{by}, '{c}' AS "column", CAST(count(*) AS BIGINT) AS n,
   round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3,
   round(min({c}) FILTER (WHERE {c} >= lo AND {c} <= hi), 6) AS whisker_low,
   round(max({c}) FILTER (WHERE {c} >= lo AND {c} <= hi), 6) AS whisker_high,
   CAST(count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS BIGINT) AS n_fliers
-FROM {last} t JOIN bb{i} b ON t.apnea_severity IS NOT DISTINCT FROM b.apnea_severity
-WHERE {c} IS NOT NULL GROUP BY t.apnea_severity""")
+FROM {last} t JOIN bb{i} b ON t.{by} IS NOT DISTINCT FROM b.{by}
+WHERE {c} IS NOT NULL GROUP BY t.{by}""")
     return ch.sql(_union(parts))
 
 
@@ -238,6 +242,17 @@ def q_boxplot_by(spark, sf_dir):
     return profile.boxplot_stats(_preprocessed(spark, sf_dir), CLINICAL, by=["apnea_severity"])
 
 
+_TYPE_SQL = """SELECT *, CASE WHEN apnea_central = 1 THEN 'Central' WHEN apnea_central = 0 THEN 'Obstructiva' END AS tipo_apnea
+FROM {src} WHERE apnea_central = 1 OR apnea_obstructiva = 1"""
+
+
+@query("boxplot_by_type", _boxplot_by_sql("tipo_apnea", _TYPE_SQL))
+def q_boxplot_by_type(spark, sf_dir):
+    """Box-plot numbers for central against obstructive apnea."""
+    df = features.differential_groups(_preprocessed(spark, sf_dir))
+    return profile.boxplot_stats(df, CLINICAL, by=["tipo_apnea"])
+
+
 def _hist_sql(table: str, col: str, by: str | None, ch=None):
     ch = ch or O.Chain()
     ch.add("hs", f"""SELECT min({_d(col)}) AS mn, max({_d(col)}) AS mx, count({col}) AS n,

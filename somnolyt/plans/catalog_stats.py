@@ -53,6 +53,35 @@ def q_score_kde(spark, sf_dir):
     return stats.kde(long, "v", by=["class", "label"])
 
 
+def _grouped_kde_sql(rows: str, by: list[str]) -> str:
+    """KDE of ``rows`` (a SELECT of by... and v over the preprocessed cohort)."""
+    ch, last = O.preprocessed_chain("median")
+    ch.add("gv", rows.format(src=last))
+    return _kde_sql(ch.sql("")[len("WITH "):].rstrip() + ",", "gv", by)
+
+
+PAIR_DENSITY = ["nsrr_age", "nsrr_bmi", "nsrr_ahi_hp3r_aasm15"]
+
+
+@query("kde_by_gender", _grouped_kde_sql("""SELECT * FROM (SELECT CASE WHEN CAST(nsrr_sex AS INTEGER) = 1 THEN 'Male'
+  WHEN CAST(nsrr_sex AS INTEGER) = 0 THEN 'Female' END AS gender_label, CAST(nsrr_ahi_hp3r_aasm15 AS DOUBLE) AS v
+FROM {src}) WHERE gender_label IS NOT NULL""", ["gender_label"]))
+def q_kde_by_gender(spark, sf_dir):
+    """Density of AHI by gender."""
+    df = features.gender_labels(_preprocessed(spark, sf_dir)).filter(F.col("gender_label").isNotNull())
+    return stats.kde(df.select("gender_label", F.col("nsrr_ahi_hp3r_aasm15").alias("v")), "v", by=["gender_label"])
+
+
+@query("pair_density", _grouped_kde_sql("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, apnea_severity, CAST({c} AS DOUBLE) AS v FROM {{src}}" for c in PAIR_DENSITY)
+    + ") WHERE apnea_severity IS NOT NULL", ["variable", "apnea_severity"]))
+def q_pair_density(spark, sf_dir):
+    """Densities on the pair plot's diagonal, by severity."""
+    long = _preprocessed(spark, sf_dir).filter(F.col("apnea_severity").isNotNull()).select("apnea_severity", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in PAIR_DENSITY])).alias("t"))
+    return stats.kde(long.select("t.variable", "apnea_severity", "t.v"), "v", by=["variable", "apnea_severity"])
+
+
 WELCH_VARS = ["nsrr_age", "nsrr_bmi", "nsrr_ahi_hp3r_aasm15"]
 
 
