@@ -273,7 +273,8 @@ def packed_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
     """(tid, spans): the repeated spans of each text that has any."""
     anchors = docs.select("text").mapInArrow(_anchor_task(length), "anchor long, tid binary, first int, n int")
-    counts = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= 2)
+    # written, so that the join below deals both sides anew and can split a common anchor's rows
+    counts = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= 2), "anchors")
     listed = (anchors.join(counts, "anchor")
               .groupBy("tid").agg(
                   F.collect_set(F.struct("anchor", "first", "n", (F.col("c") > crowded).alias("crowded"))).alias("listed"),
