@@ -32,6 +32,14 @@ def test_bpe_of_any_text(text):
     assert code.decode(ids) == text.encode()
 
 
+def test_merges_side_by_side_equal_single_merges():
+    code, r = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(8)
+    pieces = [bytes(r.choice(b"etaoinshr \xc3\xa9") for _ in range(r.randint(1, 64))) for _ in range(800)]
+    pieces = [p for p in pieces if p not in code.ranks]
+    got = bpe.merge_many(pieces, code.byte_ids, code.pair_ranks)
+    assert [tuple(np.frombuffer(g, "<i4").tolist()) for g in got] == [bpe.merge(p, code.ranks) for p in pieces]
+
+
 def test_bpe_of_long_matches():
     import tiktoken
     code = bpe.coder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
