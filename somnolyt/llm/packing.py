@@ -40,9 +40,9 @@ LENGTH = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
 _END = np.array([END_ID], "<u2").tobytes()
-#: Entries of one generation of a worker's memo; texts and new pieces that go
-#: through at a time.
-MEMO_ENTRIES, TEXTS_AT_ONCE, PIECES_AT_ONCE = 500_000, 1000, 2000
+#: Entries of one generation of a worker's memos of words and of pieces; texts
+#: and new pieces that go through at a time.
+MEMO_WORDS, MEMO_PIECES, TEXTS_AT_ONCE, PIECES_AT_ONCE = 300_000, 150_000, 500, 2000
 
 #: The pre-tokenizer pattern of the public vocabulary file (fixed value).
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -63,8 +63,8 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = TwoGenerationCache(None, MEMO_ENTRIES)
-        self.pieces = TwoGenerationCache(None, MEMO_ENTRIES)
+        self.words = TwoGenerationCache(None, MEMO_WORDS)
+        self.pieces = TwoGenerationCache(None, MEMO_PIECES)
 
     def _library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
