@@ -55,11 +55,14 @@ class WordTokenizer:
     are its words' ids in order.  Latin-1 words need no normal form; they are
     lower-cased and cut into the tokenizer's own pieces here, and many new
     pieces go through the library as one text: each piece's ids end in the one
-    id that ends a word.  All other words go through the library one by one."""
+    id that ends a word.  All other words go through the library one by one, as
+    do words that hold one of the file's added tokens: those have no white
+    space, so none spans two words, and letters as well as signs, so none is
+    ever one piece."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -85,7 +88,7 @@ class WordTokenizer:
         return out
 
     def _new_words(self, words: list[str]) -> list[bytes]:
-        simple = [max(w) <= "\xff" for w in words]
+        simple = [max(w) <= "\xff" and not any(token in w for token in self.added) for w in words]
         cut = [_PIECE.findall(w.lower()) if s else [] for w, s in zip(words, simple)]
         parts = self.pieces.many_lists(cut, self._new_pieces)
         return [b"".join(p) if s else self._library_ids(w).astype("<u2").tobytes() for w, s, p in zip(words, simple, parts)]

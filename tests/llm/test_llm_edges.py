@@ -8,6 +8,7 @@ from collections import Counter
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from somnolyt.llm import bpe, catalog, chat, cnn, exact, langid, packing, rules, simhash, substring, toxicity
 
@@ -161,3 +162,12 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in got if r.doc_id in (4, 5)} <= {"de", "en"}
     assert langid.identify(none, learned, MULTI_FILE).count() == 0
     assert langid.identify(docs, {}, MULTI_FILE).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_packing_reads_added_tokens_as_the_library_does(spark):
+    library = Tokenizer.from_file(WORD_FILE)
+    rows = list(enumerate(["one <|endoftext|> two", "a<|startoftext|>b<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>",
+                           "é<|endoftext|>É 中<|endoftext|>文", "<|endoftext|>", "<|endoftext|", "x's<|endoftext|>'s 12<|startoftext|>34"]))
+    ids = {d: library.encode(t, add_special_tokens=False).ids + [1] for d, t in rows}
+    assert ids[0] == [637, 49407, 1237, 1]
+    edge.pieces_are_whole(catalog.packed_pieces(spark.createDataFrame(rows, "doc_id long, text string"), WORD_FILE).collect(), ids)
