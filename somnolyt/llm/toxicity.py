@@ -75,10 +75,14 @@ def maximal_segments(scores: list[float], at: list[int], drift: float) -> list[t
     """All maximal scoring segments (first token, last token, score), by one
     scan over the tokens that have a score; the tokens between cost drift.
 
-    Kept candidates hold the running sum before (left) and after (right) them;
-    a new one joins the nearest earlier candidate with a lower left sum if it
-    reaches a higher right sum, and is tried again with what they cover."""
-    kept: list[list] = []  # [first, last, left, right]
+    Kept candidates hold the running sum before (left) and after (right) them
+    and the place of the nearest earlier candidate with a lower left sum; a new
+    one joins that candidate if it reaches a higher right sum, and is tried
+    again with what they cover.  Where no earlier candidate has a lower left
+    sum, none can be joined any more, so all of them are final.  A candidate
+    that a search passes by is never met again, so the scan is linear."""
+    done: list[tuple[int, int, float]] = []
+    kept: list[list] = []  # [first, last, left, right, place of the nearest with a lower left sum]
     total, before = 0.0, -1
     for position, score in zip(at, scores):
         total -= drift * (position - before - 1)
@@ -86,17 +90,20 @@ def maximal_segments(scores: list[float], at: list[int], drift: float) -> list[t
         left, total = total, total + score
         if score <= 0:
             continue
-        new = [position, position, left, total]
+        first, right, j = position, total, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
+            while j >= 0 and kept[j][2] >= left:
+                j = kept[j][4]
+            if j < 0 or kept[j][3] >= right:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            first, left, below = kept[j][0], kept[j][2], kept[j][4]
             del kept[j:]
-        kept.append(new)
-    return [(first, last, right - left) for first, last, left, right in kept]
+            j = below
+        if j < 0:
+            done.extend((a, b, r - l) for a, b, l, r, _ in kept)
+            kept = []
+        kept.append([first, position, left, right, j])
+    return done + [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
 @dataclass

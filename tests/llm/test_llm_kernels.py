@@ -158,6 +158,32 @@ def test_maximal_segments_are_the_textbook_ones():
             assert s == pytest.approx(sum(scores[a:b + 1]))
 
 
+def test_maximal_segments_take_linear_time():
+    class Counted(float):
+        asked = 0
+
+        def __add__(self, other):
+            return Counted(float(self) + other)
+
+        __radd__ = __add__
+
+        def __sub__(self, other):
+            return Counted(float(self) - other)
+
+        def __ge__(self, other):
+            Counted.asked += 1
+            return float(self) >= float(other)
+
+    r = random.Random(5)
+    n = 5000
+    for scores in ([1.0] * n, [r.uniform(0.1, 3) for _ in range(n)], [1 + i / n for i in range(n)], [2 - i / n for i in range(n)],
+                   [r.choice([-1, 1]) * r.uniform(0.1, 3) for _ in range(n)]):
+        for drift in (0.0, 0.02, 0.2, 1.0):
+            Counted.asked = 0
+            got = toxicity.maximal_segments([Counted(s) for s in scores], list(range(9, 10 * n, 10)), drift)
+            assert Counted.asked <= 6 * n and got
+
+
 def test_forward_sums_all_segmentations():
     pieces = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
     p = np.array([[.2, .1], [.3, .2], [.1, .4], [.25, .2], [.15, .1], [0, 0]])
