@@ -8,8 +8,12 @@ longest stem that has some.  Every other token costs a small drift, so the
 expected score of clean text is below zero.  One linear scan finds every maximal scoring
 segment of a text.  The best segment of clean texts follows an extreme-value
 law whose location grows with the logarithm of the length; fitted on the clean
-texts of the sample that have a segment it turns segment scores into p-values, and a logistic unit
-over the best segment's evidence gives the text's probability.
+texts of the sample that have a segment it turns segment scores into p-values.  Under that
+law the segments of clean text that reach a score are a Poisson number, which
+tells the chance of r segments as good as the r best; the r that stands out
+most is the text's evidence, so many middling passages count as well as one
+strong one, and a logistic unit over it, fitted on both kinds of texts, gives
+the text's probability.
 
 The model is fitted on a bounded sample of labelled rows (``sampling``);
 scoring is one pass over all whole texts without a shuffle.
@@ -139,11 +143,26 @@ class Model:
         expected = np.exp(-min(z, 700.0))  # of segments that good
         return float(z if expected < 1e-12 else -np.log(-np.expm1(-min(expected, 700.0)) + 1e-300))
 
-    def best(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        return max((max(0.0, self.evidence(n, s)) for _, _, s in segments), default=0.0)
+    def total_evidence(self, n: int, segments: list[tuple[int, int, float]]) -> float:
+        """The greatest evidence of the r best segments together, over all r.
+
+        Clean text has a Poisson number of segments as good as the r-th best;
+        its chance to be r or more is at most the term of r over 1 - expected /
+        (r + 1).  The r-th try costs log(r (r + 1)), as many r are tried."""
+        if not segments:
+            return 0.0
+        scores = np.sort(np.array([s for _, _, s in segments]))[::-1]
+        r = np.arange(1.0, len(scores) + 1)
+        z = (scores - self.location) / self.scale - np.log(max(n, LEAST_TOKENS))
+        expected = np.exp(-np.clip(z, -700.0, 700.0))
+        short = expected < r  # of what was found
+        share = np.where(short, expected / (r + 1), 0.0)
+        found = expected + r * z + np.cumsum(np.log(r)) + np.log1p(-share) - np.log(r * (r + 1))
+        found[0] = self.evidence(n, scores[0]) - np.log(2.0)
+        return max(0.0, float(np.max(found, where=short, initial=0.0)))
 
     def probability(self, n: int, segments: list[tuple[int, int, float]]) -> float:
-        z = self.intercept + self.slope * self.best(n, segments)
+        z = self.intercept + self.slope * self.total_evidence(n, segments)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -182,7 +201,7 @@ def train(sample: list[tuple[str, int]]) -> Model:
     best = np.array([max((s for _, _, s in segments), default=0.0) for _, segments in scanned])
     lengths = np.array([n for n, _ in scanned], float)
     model.location, model.scale = _extreme_value(best[(y == 0) & (best > 0)], lengths[(y == 0) & (best > 0)])
-    x = np.array([model.best(n, segments) for n, segments in scanned])
+    x = np.array([model.total_evidence(n, segments) for n, segments in scanned])
     model.slope, model.intercept = _logistic(np.minimum(x, 50.0) / 10, y)
     model.slope /= 10
     return model

@@ -184,6 +184,27 @@ def test_maximal_segments_take_linear_time():
             assert Counted.asked <= 6 * n and got
 
 
+def test_many_middling_passages_of_a_long_text_add_up():
+    r = random.Random(6)
+
+    def plain(n):
+        return [f"plain{r.randrange(400)}" for _ in range(n)]
+
+    def text(k):
+        """24,000 tokens and k toxic words, too far apart for one segment."""
+        return " ".join(w for i in range(80) for w in plain(300) + ["idiot"] * (i < k))
+    sample = [(" ".join(plain(40) + ["idiot", "moron"] * (i % 4 == 0) + ["clown"] * (r.random() < (0.02, 0.5)[i % 4 == 0])),
+               int(i % 4 == 0)) for i in range(600)]
+    model = toxicity.train(sample)
+    n, few = model.segments(text(1))
+    m, many = model.segments(text(80))
+    assert len(few) == 1 and len(many) == 80
+    assert max(model.evidence(m, s) for _, _, s in many) == pytest.approx(model.evidence(n, few[0][2]), abs=0.1)
+    assert model.probability(n, few) < 0.1 and model.probability(*model.segments(text(0))) < 0.1
+    assert model.probability(m, many) > 0.9
+    assert all((model.probability(*model.segments(t)) >= 0.5) == label for t, label in sample)
+
+
 def test_forward_sums_all_segmentations():
     pieces = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
     p = np.array([[.2, .1], [.3, .2], [.1, .4], [.25, .2], [.15, .1], [0, 0]])
