@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, cnn, exact, langid, packing, rules, sampling, simhash, substring, toxicity
+from . import align, bpe, chat, cnn, exact, langid, packing, rules, sampling, simhash, substring, toxicity
 from .textkit import documents, id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,10 @@ def packed_pieces(docs: DataFrame, path: str) -> DataFrame:
     """Pieces with the checksum of their ids in place of the ids."""
     return packing.pack(docs, path).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment of two tokenizers, with corpus-wide pair counts."""
+    return align.alignment_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
