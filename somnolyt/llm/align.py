@@ -19,7 +19,7 @@ the same end, a group of A and B tokens closes.
   rows shuffled are a chunk's distinct pairs, never its links; no pair is
   broadcast and no chunk holds more than ``CHUNK_TOKENS`` tokens and one text.
 
-Words are tokenised once per chunk: no token of either vocabulary holds a space
+Distinct words of a slice are tokenised once: no token of either vocabulary holds a space
 after another character, so a text without runs of white space may be cut
 before its spaces; other texts go through the tokenizers whole.
 
@@ -33,7 +33,7 @@ only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,21 +41,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .storage import stored
-from .textkit import TwoGenerationCache, batch_of, gather, slices
+from .textkit import batch_of, gather, slices
 
-#: Steps of a piece; tokens after which a chunk is closed; texts and characters that are tokenised at a time.
-PIECE, CHUNK_TOKENS, TEXTS_AT_ONCE = 1 << 14, 2_000_000, 500
-#: Words of a generation of the memo, and their longest length; links that are laid out at a time.
-MEMO_WORDS, MEMO_CHARS, LINKS_AT_ONCE = 200_000, 64, 4_000_000
+#: Steps of a piece; tokens after which a chunk is closed; texts and characters that are tokenised at a time
+#: (one longer text goes alone); links that are laid out at a time.
+PIECE, CHUNK_TOKENS, TEXTS_AT_ONCE, CHARS_AT_ONCE, LINKS_AT_ONCE = 1 << 14, 2_000_000, 2000, 2_000_000, 2_000_000
 #: A group with more links than this is counted by its distinct ids.
 LARGE_GROUP = 4096
+#: Fixed value: the pattern that parts texts before byte-level merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts that must not be cut at their spaces.
 _WHOLE = re.compile(r"^ | (?:\s|$)")
 
@@ -69,59 +71,77 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class TokenizerPair:
-    """Tokenizers A (byte-level BPE) and B (pieces with byte fallback), the
-    bytes of their tokens, and a memo of the ids of words."""
+    """Tokenizers A (byte-level BPE) and B (pieces with byte fallback), and the
+    bytes of their tokens.
+
+    A's merges make the ids in order, so its file is a list of ranks: any two
+    tokens side by side that join to a token are the two that its merge names
+    (what stands between two untouched ends was merged as if alone).  The rank
+    encoder then gives the library's ids several times faster; a file whose
+    merges are in another order is refused."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core only
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
+        alphabet = byte_alphabet()
+        with open(a_path, encoding="utf-8") as text:
+            file = json.load(text)
+        named = [merge.split(" ") if isinstance(merge, str) else merge for merge in file["model"]["merges"]]
+        special = {token["content"] for token in file["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+        made = [file["model"]["vocab"]["".join(merge)] for merge in named]
+        if made != list(range(256, 256 + len(made))):
+            raise ValueError(f"{a_path}: ids are not in the order of the merges")
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        alphabet, vocabulary = byte_alphabet(), self.a.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(alphabet[c] for c in token)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b_bytes = [bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size()) for piece in [self.b.id_to_piece(i)]]
         self.a_length, self.b_length = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
-        self.words = TwoGenerationCache(None, MEMO_WORDS)
-
-    def _spelled(self, words: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """(A ids, B ids, whether both spell the space and the word) of each word."""
-        out = []
-        a_all = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
-        for word, a, b in zip(words, a_all, self.b.encode(words, num_threads=1)):
-            a, text = a.ids, b" " + word.encode()
-            good = b"".join(map(self.a_bytes.__getitem__, a)) == text == b"".join(map(self.b_bytes.__getitem__, b))
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), good))
-        return out
+        self.a_flat, self.b_flat = (np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes))
+
+    def _spelled(self, words: list[str], n_cut: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of all words by A and by B (a space goes before each), how many
+        each word has of either, and whether both spell the space and the word.
+        The first ``n_cut`` words were cut at spaces, so A takes them as one text."""
+        raw = [b" " + w.encode() for w in words]
+        text, size = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(words))
+        a = self.a.encode_ordinary("".join([" " + w for w in words[:n_cut]]))
+        for word in words[n_cut:]:
+            a += self.a.encode_ordinary(" " + word)
+        a, b = np.array(a, np.int64), self.b.encode(words, num_threads=1)
+        n_a = np.diff(np.searchsorted(np.cumsum(self.a_length[a]), np.cumsum(size), "right"), prepend=0)
+        n_b = np.fromiter(map(len, b), np.int64, len(words))
+        b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        good = np.diff(np.r_[0, np.cumsum(self.b_length[b])][np.r_[0, np.cumsum(n_b)]]) == size
+        same = gather(self.b_flat, self.b_length, b[np.repeat(good, n_b)]) == text[np.repeat(good, size)]
+        good[np.repeat(np.flatnonzero(good), size[good])[~same]] = False
+        if not np.array_equal(gather(self.a_flat, self.a_length, a), text):
+            raise AssertionError("byte-level tokens spell their text")
+        return [a, b], [n_a, n_b], good
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A ids and B ids of all texts, one after the other, and how many each
-        text has of either; none for texts that are not spelled by both."""
-        parts = [[] if not t else [t] if _WHOLE.search(t) else t.split(" ") for t in texts]
-        coded = pa.array(list(chain.from_iterable(parts)), pa.string()).dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        values: list = [None] * len(distinct)
-        short = [i for i, w in enumerate(distinct) if len(w) <= MEMO_CHARS]
-        long = [i for i, w in enumerate(distinct) if len(w) > MEMO_CHARS]
-        (known,) = self.words.many_lists([[distinct[i] for i in short]], self._spelled)
-        for i, value in chain(zip(short, known), zip(long, self._spelled([distinct[i] for i in long]) if long else ())):
-            values[i] = value
-        ends = np.cumsum([0, *map(len, parts)])
-        bad = np.flatnonzero(~np.fromiter((v[2] for v in values), bool, len(values))[codes]) if values else np.array([], int)
-        skipped = np.unique(np.searchsorted(ends, bad, "right") - 1)
-        kept = np.ones(len(codes), bool)
-        for row in skipped.tolist():
-            kept[ends[row]:ends[row + 1]] = False
-        counts = np.bincount(np.repeat(np.arange(len(texts)), np.diff(ends))[kept], minlength=len(texts))
-        codes, out = codes[kept], []
-        for side in (0, 1):
-            lengths = np.fromiter((len(v[side]) // 4 for v in values), np.int64, len(values))
-            ids = gather(np.frombuffer(b"".join(v[side] for v in values), "<u4"), lengths, codes).astype(np.int64)
-            n = np.diff(np.r_[0, np.cumsum(lengths[codes])][np.r_[0, np.cumsum(counts)]])
-            out += [ids, n]
-        return out[0], out[2], out[1], out[3]
+        """A ids and how many each text has, B ids and how many each text has;
+        none for texts that are not spelled by both."""
+        whole = [bool(t) and bool(_WHOLE.search(t)) for t in texts]
+        cut = pc.split_pattern(pa.array([None if w or not t else t for t, w in zip(texts, whole)], pa.string()).fill_null(""), " ")
+        coded = cut.values.dictionary_encode()
+        words, codes, n_words = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy(), np.diff(cut.offsets.to_numpy())
+        n_cut = len(words)
+        at = np.cumsum(n_words) - n_words  # texts that are not cut have one empty word: it stands for the whole text, or goes
+        for row, text in enumerate(texts):
+            if whole[row]:
+                codes[at[row]] = len(words)
+                words.append(text)
+        ids, counts, good = self._spelled(words, n_cut)
+        doc = np.repeat(np.arange(len(texts)), n_words)
+        kept = np.array([bool(t) for t in texts], bool)
+        kept[doc[~good[codes]]] = False
+        codes, doc = codes[kept[doc]], doc[kept[doc]]
+        out = []
+        for x, n in zip(ids, counts):
+            out += [gather(x, n, codes), np.bincount(doc, n[codes], len(texts)).astype(np.int64)]
+        return tuple(out)
 
 
 def crossings(a: np.ndarray, b: np.ndarray, step: int = PIECE) -> np.ndarray:
@@ -162,7 +182,7 @@ class Line:
 
     def __init__(self, pair: TokenizerPair, texts: list[str | None]):
         self.pair = pair
-        self.a, self.b, self.n_a, self.n_b = pair.encode(texts)
+        self.a, self.n_a, self.b, self.n_b = pair.encode(texts)
         ga, gb = shared_ends(np.cumsum(pair.a_length[self.a]), np.cumsum(pair.b_length[self.b]))
         self.a_start, self.b_start = np.r_[0, ga[:-1]][:len(ga)], np.r_[0, gb[:-1]][:len(gb)]
         self.m, self.n = ga - self.a_start, gb - self.b_start
@@ -226,6 +246,15 @@ def _shown(a_size: int, b_size: int) -> list[str]:
     return [f"{i}{c}" for i in range(a_size) for c in ",|"] + [f"{i}{c}" for i in range(b_size) for c in ",;"]
 
 
+def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of some rows at a time, bounded in rows and characters."""
+    for part in slices(batch, TEXTS_AT_ONCE):
+        ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+        slot = np.cumsum([len(t or "") for t in texts]) // CHARS_AT_ONCE
+        for at, to in zip(bounds := np.flatnonzero(np.diff(slot, prepend=-1)), [*bounds[1:], len(texts)]):
+            yield ids[at:to], texts[at:to]
+
+
 @lru_cache(maxsize=2)
 def tokenizer_pair(a_path: str, b_path: str) -> TokenizerPair:
     return TokenizerPair(a_path, b_path)
@@ -239,12 +268,12 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(a_path, b_path)
         for batch in batches:
-            for part in slices(batch, TEXTS_AT_ONCE):
-                line = Line(pair, part.column(1).to_pylist())
+            for ids, texts in text_slices(batch):
+                line = Line(pair, texts)
                 groups = [{"a": line.a[s:s + m], "b": line.b[t:t + n]} for s, m, t, n in zip(
                     line.a_start.tolist(), line.m.tolist(), line.b_start.tolist(), line.n.tolist())]
                 ends = line.group_ends.tolist()
-                yield batch_of(GROUPS, part.column(0), [groups[x:y] for x, y in zip([0, *ends], ends)])
+                yield batch_of(GROUPS, ids, [groups[x:y] for x, y in zip([0, *ends], ends)])
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(
         task, "doc_id long, groups array<struct<a:array<int>,b:array<int>>>")
 
@@ -285,8 +314,8 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(number)
         for batch in batches:
-            for part in slices(batch, TEXTS_AT_ONCE):
-                chunk.add(part.column(0).to_pylist(), Line(pair, part.column(1).to_pylist()))
+            for ids, texts in text_slices(batch):
+                chunk.add(ids, Line(pair, texts))
                 if chunk.tokens >= CHUNK_TOKENS:
                     yield chunk.batch()
                     number += 1
