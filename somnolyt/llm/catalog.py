@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, cnn, exact, langid, packing, rules, sampling, simhash, substring, toxicity
+from . import align, bpe, chat, cnn, exact, langid, mtree, packing, rules, sampling, simhash, substring, toxicity
 from .textkit import documents, id_bucket
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,21 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's alignment of two tokenizers, with corpus-wide pair counts."""
     return align.alignment_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
                                    public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_mtree_topk", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.x, c.x, true), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op12_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best other vectors for each vector whose id is divisible by 50."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return mtree.top_k(rows, rows.filter(F.col("vec_id") % 50 == 0), 5)
