@@ -4,9 +4,9 @@ A phrase is a run of words within a piece of text.  Every word's window, the
 longest run of up to ``longest`` words that starts there, goes into a trie once;
 the count of a phrase is the sum below its node.
 
-* A task's trie is shallow: under the language and the first word's id stands a
-  hash container of the windows' remaining ids.  A container that grows past
-  ``BURST`` bursts into one per second word, while there are longer windows.
+* A task's trie is shallow: under the language and a range of first word ids
+  stands a hash container of windows.  A container that grows past ``BURST``
+  bursts into one per first word, or per second word of longer windows.
 * When the trie holds ``LIMIT`` windows, whole subtrees are spilled, the largest
   first, until half is left: their phrases' sums leave as one sorted run.
 * Runs are merged per prefix: every phrase is a prefix of windows, a run holds
@@ -28,6 +28,7 @@ other columns cannot clash.
 
 from __future__ import annotations
 
+from collections import Counter as Tally
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from .textkit import batch_of
 #: Least count, share that absorbs a phrase (in percent), scale of scores, longest phrase, rows a language.
 LEAST, ABSORBED, SCORE_SCALE, LONGEST, TOP = 30, 80, 2_000_000, 4, 2000
 #: Windows in a trie; windows in a container before it bursts; words with an id; characters at a time.
-LIMIT, BURST, VOCABULARY, CHARS_AT_ONCE = 600_000, 2000, 400_000, 1_000_000
+LIMIT, BURST, VOCABULARY, CHARS_AT_ONCE = 1_000_000, 20_000, 400_000, 4_000_000
 #: Bits of the sieve a frequent pair, and at most.
 BITS_A_PAIR, SIEVE_BITS = 16, 1 << 27
 #: Bits of a word id in a container's key.
@@ -63,49 +64,53 @@ def tokens_of(texts: list[str]) -> list[bytes]:
 
 
 class HatTrie:
-    """Counts of windows: first id -> container of the remaining ids, or, once
-    burst, second id -> container.  A container maps packed ids to counts."""
+    """Counts of windows.  The root leads from a range of first ids to a hash
+    container, which counts the packed ids of its windows.  A container that
+    grows past ``burst`` becomes a node that leads from the next id (the first
+    one, if the range holds several) to containers."""
 
     def __init__(self, longest: int, burst: int = BURST):
-        self.longest, self.burst, self.size = longest, burst, 0
-        self.shift = _ID * (longest - 2)  # place of the second id in a packed remainder
-        self.containers: dict[int, dict] = {}
-        self.nodes: dict[int, dict[int, dict]] = {}
+        self.burst, self.size = burst, 0
+        self.below = _ID * (longest - 1)  # bits of a window after its first id
+        self.range = min(6, 63 - self.below)  # bits of a first id inside a container
+        self.shift = self.below if self.range else self.below - _ID
+        self.containers: dict[int, Tally] = {}
+        self.nodes: dict[int, dict[int, Tally]] = {}
 
     def add(self, first: np.ndarray, rest: np.ndarray) -> None:
-        """Count windows; equal ones are summed before they are looked up."""
-        order = np.lexsort((rest, first))
-        first, rest = first[order], rest[order]
-        new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])]) if len(first) else np.zeros(0, int)
-        counts = np.diff(np.r_[new, len(first)])
-        first, rest = first[new], rest[new].tolist()
-        starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.zeros(0, int)
-        counts, heads, ends = counts.tolist(), first[starts].tolist(), [*starts[1:].tolist(), len(first)]
-        at = 0
-        for head, to in zip(heads, ends):
+        """Count windows, container by container."""
+        if self.range:
+            key = np.sort(first << self.below | rest)
+            first, rest = key >> self.below, key & (1 << self.below) - 1
+        else:
+            order = np.lexsort((rest, first))
+            first, rest = first[order], rest[order]
+        place, key = first >> self.range, (first & (1 << self.range) - 1) << self.below | rest
+        keys = key.tolist()
+        for head, at, to in _parts(place):
             node = self.nodes.get(head)
             if node is not None:
-                self._below(node, zip(rest[at:to], counts[at:to]))
-            else:
-                container = self.containers.get(head)
-                if container is None:
-                    self.containers[head] = dict(zip(rest[at:to], counts[at:to]))
-                    self.size += to - at
-                else:
-                    before, get = len(container), container.get
-                    for key, n in zip(rest[at:to], counts[at:to]):
-                        container[key] = get(key, 0) + n
-                    self.size += len(container) - before
-                    if len(container) > self.burst and self.longest > 2:
-                        self.size -= len(container)
-                        self._below(self.nodes.setdefault(head, {}), self.containers.pop(head).items())
-            at = to
-
-    def _below(self, node: dict[int, dict], items) -> None:
-        for key, n in items:
-            container = node.setdefault(key >> self.shift, {})
+                self._route(node, key[at:to])
+                continue
+            container = self.containers.get(head)
+            if container is None:
+                container = self.containers[head] = Tally()
+            before = len(container)
+            container.update(keys[at:to])
+            self.size += len(container) - before
+            if len(container) > self.burst:
+                node = self.nodes[head] = {}
+                for k, n in self.containers.pop(head).items():
+                    node.setdefault(k >> self.shift, Tally())[k] = n
+
+    def _route(self, node: dict[int, Tally], key: np.ndarray) -> None:
+        keys = key.tolist()
+        for child, at, to in _parts(key >> self.shift):
+            container = node.get(child)
+            if container is None:
+                container = node[child] = Tally()
             before = len(container)
-            container[key] = container.get(key, 0) + n
+            container.update(keys[at:to])
             self.size += len(container) - before
 
     def take(self, left: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +130,14 @@ class HatTrie:
             heads.append(head)
             sizes.append(size)
             self.size -= size
-        return np.repeat(np.array(heads, np.int64), sizes), np.array(keys, np.int64), np.array(counts, np.int64)
+        place, key = np.repeat(np.array(heads, np.int64), sizes), np.array(keys, np.int64)
+        return place << self.range | key >> self.below, key & (1 << self.below) - 1, np.array(counts, np.int64)
+
+
+def _parts(sorted_keys: np.ndarray):
+    """(key, start, end) of each run of equal keys."""
+    starts = np.flatnonzero(np.r_[len(sorted_keys) > 0, sorted_keys[1:] != sorted_keys[:-1]])
+    return zip(sorted_keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_keys)])
 
 
 def mixed(left: np.ndarray, right: np.ndarray, lang: int) -> np.ndarray:
