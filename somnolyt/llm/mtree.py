@@ -51,7 +51,7 @@ SCALE = 256
 #: Largest absolute component after scaling.
 LARGEST = 1 << 28
 #: Points that the top level is chosen from; points of one tree; entries of a page; queries of a block.
-SAMPLE, TREE_ROWS, PAGE, BLOCK_QUERIES = 4096, 20_000, 128, 10_000
+SAMPLE, TREE_ROWS, PAGE, BLOCK_QUERIES = 4096, 20_000, 512, 10_000
 #: Relative slack of bounds, for rounding.
 _SLACK = 1e-7
 
@@ -103,10 +103,11 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products as exact 64-bit integers."""
-    if not x.size or np.abs(q).max() * np.abs(x).max() * len(q) < 2.0 ** 53:
-        return (x @ q).astype(np.int64)
+def scores(q: np.ndarray, x: np.ndarray, norm: float) -> np.ndarray:
+    """Inner products as exact 64-bit integers; ``norm`` bounds the squared
+    norms of x.  Every partial sum is at most |q||x|, so doubles hold small ones."""
+    if (q @ q) * norm < 2.0 ** 105:
+        return np.einsum("ij,j->i", x, q).astype(np.int64)  # one thread: a task has its own core only
     return x.astype(np.int64) @ q.astype(np.int64)
 
 
@@ -128,7 +129,7 @@ class Tree:
                 tree.pages[number] = dict(leaf=True, at=rows, x=x[rows], norm=norms[rows], reach=np.zeros(len(rows)),
                                           above=distances(x[rows], centre[None])[:, 0])
                 continue
-            routing = rng.choice(rows, min(page, -(-len(rows) // page) * 2), replace=False)
+            routing = rng.choice(rows, min(page, -(-3 * len(rows) // (2 * page))), replace=False)
             apart = distances(x[rows], x[routing])
             nearest = apart.argmin(axis=1)
             groups = [np.flatnonzero(nearest == i) for i in range(len(routing))]
@@ -143,6 +144,8 @@ class Tree:
             waiting += [(made + j, rows[groups[i]], x[routing[i]]) for j, i in enumerate(kept)]
             made += len(kept)
         tree.pages[0]["centre"] = x[0] if len(x) else np.zeros(0)
+        for p in tree.pages.values():
+            p["largest"] = p["norm"].max(initial=0)
         return tree
 
     def search(self, q: np.ndarray, own: int, ids: list, k: int, floor: int | None = None) -> tuple[list, int]:
@@ -158,14 +161,19 @@ class Tree:
                 break
             page = self.pages[number]
             near = np.maximum(np.abs(from_q - page["above"]) * (1 - _SLACK) - page["reach"] * (1 + _SLACK), 0)
-            open_ = np.flatnonzero((q2 + page["norm"] - near * near) / 2 * (1 + _SLACK * 2) + _SLACK * (q2 + page["norm"]) + 1 >= least)
+            open_ = np.flatnonzero((q2 + page["norm"]) * (0.5 + 2 * _SLACK) - near * near / 2 >= least - 1)
             if not len(open_):
                 continue
-            x = page["x"][open_]
-            product = scores(q, x)
-            computed += len(x)
+            x = page["x"]
+            if 2 * len(open_) > len(x):  # taking most rows out costs more than multiplying all
+                product, computed = scores(q, x, page["largest"])[open_], computed + len(x)
+            else:
+                product, computed = scores(q, x[open_], page["largest"]), computed + len(open_)
             if page["leaf"]:
-                for i in np.flatnonzero(product >= least).tolist():
+                hit = np.flatnonzero(product >= least)
+                for i in hit[np.argsort(-product[hit])].tolist():
+                    if product[i] < least:
+                        break
                     for vec_id, n in ids[page["at"][open_[i]]]:
                         for _ in range(min(n, k) if vec_id != own else 0):
                             item = (int(product[i]), -vec_id)
@@ -177,6 +185,7 @@ class Tree:
                         least = max(least, best[0][0])
                 continue
             reach, norm = page["reach"][open_], page["norm"][open_]
+            x = x[open_]
             away = np.sqrt(np.maximum(q2 + (x * x).sum(axis=1) - 2.0 * product, 0))
             near = np.maximum(away * (1 - _SLACK) - reach * (1 + _SLACK), 0)
             upper = np.minimum((q2 + norm - near * near) / 2, product + length * reach)
@@ -218,6 +227,7 @@ def _tree_of(pages: pa.Table, width: int) -> tuple[Tree, list]:
             ids += [[(i["vec_id"], i["n"]) for i in some] for some in row["ids"]]
         made[row["page"]] = dict(leaf=row["leaf"], at=at, x=matrix(row["points"], width),
                                  **{c: np.array(row[c]) for c in ("norm", "reach", "above")})
+        made[row["page"]]["largest"] = made[row["page"]]["norm"].max(initial=0)
         if row["page"] == 0:
             made[0]["centre"] = matrix([row["centre"]], width)[0]
     return Tree(made), ids
