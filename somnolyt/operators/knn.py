@@ -1,6 +1,12 @@
-"""Exact k-nearest-neighbour join, distributed as a block nested loop.
+"""Exact k-nearest-neighbour join, pruned by pivot cells.
 
-Query rows are hashed into QB blocks and donor rows into DB blocks; each
+Complete vectors over more than one block of donors go through pivot cells
+(``_pruned``): every donor belongs to the cell of its nearest pivot, a query
+first meets one block of its own cell, whose k-th distance is an upper bound,
+and then goes only to cells that the triangle inequality does not rule out.
+
+Vectors with gaps have no triangle inequality, and one block of donors has
+nothing to prune; they meet in a block nested loop.  Query rows are hashed into QB blocks and donor rows into DB blocks; each
 query row is replicated to every donor block and each donor row to every
 query block, and ``cogroup(...).applyInPandas`` meets one (query block,
 donor block) pair per group.  A group therefore holds at most
@@ -25,6 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
+#: Donors of a cell block, queries of a block, and the most pivots (they are collected and broadcast).
+CELL_ROWS, QUERY_ROWS, MAX_PIVOTS = 4096, 1024, 1024
+#: Relative slack of lower bounds, for rounding.
+SLACK = 1e-9
+
 
 def _vector(cols: list[str] | str) -> F.Column:
     if isinstance(cols, str):
@@ -95,9 +108,10 @@ def _plan_blocks(n_query: int, n_donor: int, q_block_rows: int, d_block_rows: in
 
 
 def _blocked(query: DataFrame, donors: DataFrame, qkey: str, dkey: str, by: list[str],
-             q_block_rows: int, d_block_rows: int):
+             q_block_rows: int, d_block_rows: int, n_query: int | None = None, n_donor: int | None = None):
     spark = query.sparkSession
-    nq, nd = query.count(), donors.count()
+    nq = query.count() if n_query is None else n_query
+    nd = donors.count() if n_donor is None else n_donor
     par = spark.sparkContext.defaultParallelism
     qb, db = _plan_blocks(nq, nd, q_block_rows, d_block_rows, par)
     q = (query.withColumn("_qb", F.pmod(F.xxhash64(F.col(qkey)), F.lit(qb)).cast("int"))
@@ -105,29 +119,12 @@ def _blocked(query: DataFrame, donors: DataFrame, qkey: str, dkey: str, by: list
     d = (donors.withColumn("_db", F.pmod(F.xxhash64(F.col(dkey)), F.lit(db)).cast("int"))
                .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     keys = by + ["_qb", "_db"]
-    return q.groupBy(*keys).cogroup(d.groupBy(*keys)), qb, db
-
+    return q.groupBy(*keys).cogroup(d.groupBy(*keys))
 
-def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k: int,
-             qkey: str = "row_id", dkey: str | None = None, by: list[str] | None = None,
-             exclude_self: bool = False, q_block_rows: int = 1024,
-             d_block_rows: int = 4096) -> DataFrame:
-    """For each query row: its k nearest donors (same ``by`` group).
-
-    Returns ``(by..., qkey, nbr, d2, rank)`` with rank 1..k by (d2, nbr).
-    ``features`` is a list of numeric columns (NULL = missing) or one array
-    column.  Keys must be integral and unique per side.
-    """
-    by = by or []
-    dkey = dkey or qkey
-    qv = query.select(*[F.col(b).alias(b) for b in by], F.col(qkey).cast("long").alias("_q"), _vector(features).alias("_v"))
-    dv = donors.select(*[F.col(b).alias(b) for b in by], F.col(dkey).cast("long").alias("_d"), _vector(features).alias("_v"))
-    grouped, _, _ = _blocked(qv, dv, "_q", "_d", by, q_block_rows, d_block_rows)
-    by_types = {f.name: f.dataType for f in query.schema.fields if f.name in by}
-    schema = T.StructType([T.StructField(b, by_types[b]) for b in by] + [
-        T.StructField("_q", T.LongType()), T.StructField("nbr", T.LongType()),
-        T.StructField("d2", T.DoubleType())])
 
+def _meet(schema: T.StructType, by: list[str], k: int, exclude_self: bool):
+    """Top k of one (queries, donors) group; ``_u``, where given, is a squared
+    distance past which a donor cannot matter."""
     def block(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(dpdf) == 0:
             return pd.DataFrame({f.name: [] for f in schema.fields})
@@ -136,6 +133,8 @@ def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k:
         d2 = pair_d2(Q, D)
         if exclude_self:
             d2[qk[:, None] == dk[None, :]] = np.nan
+        if "_u" in qpdf:
+            d2[d2 > qpdf["_u"].fillna(np.inf).to_numpy(float)[:, None]] = np.nan
         picks = _top_k(d2, dk, k)
         rows = np.repeat(np.arange(len(qk)), [len(p) for p in picks])
         picked = np.concatenate(picks).astype(int)
@@ -143,13 +142,125 @@ def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k:
         for b in by:
             out.insert(0, b, qpdf[b].iloc[0])
         return out[[f.name for f in schema.fields]]
+    return block
 
-    cand = grouped.applyInPandas(block, schema)
+
+def knn_join(query: DataFrame, donors: DataFrame, features: list[str] | str, k: int,
+             qkey: str = "row_id", dkey: str | None = None, by: list[str] | None = None,
+             exclude_self: bool = False, q_block_rows: int = QUERY_ROWS,
+             d_block_rows: int = CELL_ROWS) -> DataFrame:
+    """For each query row: its k nearest donors (same ``by`` group).
+
+    Returns ``(by..., qkey, nbr, d2, rank)`` with rank 1..k by (d2, nbr).
+    ``features`` is a list of numeric columns (NULL = missing) or one array
+    column.  Keys must be integral and unique per side.
+    """
+    by = by or []
+    dkey = dkey or qkey
+    qv = query.select(*[F.col(b).alias(b) for b in by], F.col(qkey).cast("long").alias("_q"), _vector(features).alias("_v"))
+    dv = donors.select(*[F.col(b).alias(b) for b in by], F.col(dkey).cast("long").alias("_d"), _vector(features).alias("_v"))
+    by_types = {f.name: f.dataType for f in query.schema.fields if f.name in by}
+    schema = T.StructType([T.StructField(b, by_types[b]) for b in by] + [
+        T.StructField("_q", T.LongType()), T.StructField("nbr", T.LongType()),
+        T.StructField("d2", T.DoubleType())])
+    meet = _meet(schema, by, k, exclude_self)
+    n_query, n_donor, whole = _shape(qv, dv)
+    if whole and n_query and n_donor > d_block_rows:
+        cand = _pruned(qv, dv, by, k, n_donor, meet, schema, q_block_rows, d_block_rows)
+    else:
+        cand = _blocked(qv, dv, "_q", "_d", by, q_block_rows, d_block_rows, n_query, n_donor).applyInPandas(meet, schema)
     w = Window.partitionBy(*by, "_q").orderBy("d2", "nbr")
     return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .withColumnRenamed("_q", qkey))
 
 
+def _shape(qv: DataFrame, dv: DataFrame) -> tuple[int, int, bool]:
+    """Rows of both sides, and whether all vectors are complete and of one length."""
+    gap = F.col("_v").isNull() | F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    q, d = (side.agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(gap, F.lit(False))).alias("gap"),
+                     F.min(F.size("_v")).alias("lo"), F.max(F.size("_v")).alias("hi")).first() for side in (qv, dv))
+    lengths = {q["lo"], q["hi"], d["lo"], d["hi"]} - {None}
+    return q["n"], d["n"], not q["gap"] and not d["gap"] and len(lengths) == 1 and min(lengths) > 0
+
+
+def _rows(batch, column: str) -> np.ndarray:
+    vectors = batch.column(column)
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _extended(df: DataFrame, fn, columns: list[tuple[str, T.DataType]]) -> DataFrame:
+    """``df`` with columns that ``fn`` makes from the vectors of a batch:
+    ``fn(batch)`` gives (row numbers to keep or None, new columns)."""
+    import pyarrow as pa
+    schema = T.StructType(df.schema.fields + [T.StructField(name, kind) for name, kind in columns])
+
+    def task(batches):
+        for batch in batches:
+            keep, new = fn(batch)
+            kept = batch.columns if keep is None else batch.take(pa.array(keep)).columns
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, new)], names=[*batch.schema.names, *(n for n, _ in columns)])
+    return df.mapInArrow(task, schema)
+
+
+def _pruned(qv: DataFrame, dv: DataFrame, by: list[str], k: int, n_donor: int, meet, schema: T.StructType,
+            q_block_rows: int, d_block_rows: int) -> DataFrame:
+    """Candidates that hold every query's k nearest donors.
+
+    Pivots are the donors of least key hash.  A cell knows its radius and its
+    donors; more than a block of them are cut by a key hash, and so are the
+    queries that meet a cell, so a group holds about ``q_block_rows`` queries
+    and ``d_block_rows`` donors whatever the skew.  The shuffle carries a query
+    once for every block of a cell that can hold one of its neighbours."""
+    spark = qv.sparkSession
+    n_pivots = min(MAX_PIVOTS, -(-n_donor // d_block_rows) * 4)
+    first = dv.orderBy(F.xxhash64("_d"), "_d").limit(n_pivots).select("_v").collect()
+    pivots = np.unique(np.array([r["_v"] for r in first], float), axis=0)
+
+    def nearest(batch):
+        away = np.sqrt(pair_d2(_rows(batch, "_v"), pivots))
+        cell = away.argmin(axis=1)
+        return None, [cell.astype(np.int32), away[np.arange(len(cell)), cell]]
+    placed = [("_cell", T.IntegerType()), ("_away", T.DoubleType())]
+    donors = materialize(_extended(dv, nearest, placed))
+    stats = {r["_cell"]: r for r in donors.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_away").alias("r")).collect()}
+    radius = np.array([stats[c]["r"] if c in stats else -np.inf for c in range(len(pivots))])
+    d_blocks = {c: -(-r["n"] // d_block_rows) for c, r in stats.items()}
+    sizes = F.broadcast(spark.createDataFrame(sorted(d_blocks.items()), "_cell int, _nd int"))  # one row a pivot
+    donors = donors.join(sizes, "_cell").withColumn("_db", F.pmod(F.xxhash64("_d"), F.col("_nd")).cast("int"))
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Top k of each query in each (cell, block) that it asks."""
+        asked = materialize(asked)
+        load = {(r["_cell"], r["_db"]): -(-r["count"] // q_block_rows) for r in asked.groupBy("_cell", "_db").count().collect()}
+        loads = F.broadcast(spark.createDataFrame([(c, b, n) for (c, b), n in sorted(load.items())], "_cell int, _db int, _nq int"))
+        q = asked.join(loads, ["_cell", "_db"]).withColumn("_qb", F.pmod(F.xxhash64("_q"), F.col("_nq")).cast("int"))
+        d = donors.join(loads, ["_cell", "_db"]).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
+        keys = by + ["_cell", "_db", "_qb"]
+        return (q.select(*keys, "_q", "_v", "_u").groupBy(*keys)
+                 .cogroup(d.select(*keys, "_d", "_v").groupBy(*keys)).applyInPandas(meet, schema))
+
+    homes = (_extended(qv, nearest, placed).join(sizes, "_cell")
+             .withColumn("_db", F.pmod(F.xxhash64("_q"), F.col("_nd")).cast("int")))
+    homes = materialize(homes.withColumn("_u", F.lit(None).cast("double")))
+    near = materialize(met(homes))
+    bound = near.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.max("d2").alias("_d2"))
+    bound = bound.select("_q", F.when(F.col("_n") >= k, F.col("_d2")).alias("_u"))
+    bounded = homes.select(*by, "_q", "_v", F.col("_cell").alias("_own"), F.col("_db").alias("_met")).join(bound, "_q", "left")
+
+    def reachable(batch):
+        away = np.sqrt(pair_d2(_rows(batch, "_v"), pivots))
+        own = away[np.arange(len(away)), batch.column("_own").to_numpy()][:, None]
+        # a donor lies within its cell's radius, and no other pivot is nearer to it
+        low = np.maximum(away * (1 - SLACK) - radius * (1 + SLACK), (away * (1 - SLACK) - own * (1 + SLACK)) / 2)
+        reach = np.sqrt(batch.column("_u").to_numpy(zero_copy_only=False).astype(float))[:, None] * (1 + SLACK)
+        row, cell = np.nonzero(~(low > reach) & np.isfinite(radius))  # without a bound every cell
+        return row, [cell.astype(np.int32)]
+    asked = _extended(bounded, reachable, placed[:1]).join(sizes, "_cell")
+    asked = asked.withColumn("_db", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1)))
+    rest = met(asked.filter((F.col("_cell") != F.col("_own")) | (F.col("_db") != F.col("_met"))))
+    return near.unionByName(rest)
+
+
 # ---------------------------------------------------------------- kNN imputation
 
 def knn_impute(df: DataFrame, cols: list[str], key: str = "patient_id", k: int = 7,
@@ -169,7 +280,7 @@ def knn_impute(df: DataFrame, cols: list[str], key: str = "patient_id", k: int =
         any_missing = any_missing | F.col(c).isNull()
     recv = base.filter(any_missing).select(F.col(key).cast("long").alias("_q"), _vector(cols).alias("_v"))
     donors = base.select(F.col(key).cast("long").alias("_d"), _vector(cols).alias("_v"))
-    grouped, _, _ = _blocked(recv, donors, "_q", "_d", [], q_block_rows, d_block_rows)
+    grouped = _blocked(recv, donors, "_q", "_d", [], q_block_rows, d_block_rows)
     col_index = {c: i for i, c in enumerate(cols)}
     use_idx = [col_index[c] for c in usable]
     schema = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_c", T.IntegerType()),
