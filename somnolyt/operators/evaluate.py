@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import even_buckets
+from .quantiles import even_buckets, sent
 
 
 def running_counts(df: DataFrame, score: str = "score", label: str = "label",
@@ -200,7 +200,7 @@ def score_histogram(df: DataFrame, score: str = "score", by: list[str] | None =
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    j = rows.join(st, same) if by else rows.join(F.broadcast(st))
+    j = rows.join(sent(st), same)
     b = F.least(F.floor((F.col(score) - F.col("_mn")) / F.col("_span") * bins).cast("int"), F.lit(bins - 1))
     c = j.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.first("_mn").alias("_mn"),
                                             F.first("_span").alias("_span"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import column_quantiles, exact_quantiles
+from .quantiles import column_quantiles, exact_quantiles, sent
 
 
 def unpivot(df: DataFrame, cols: list[str], value_type: str = "double",
@@ -242,7 +242,7 @@ def boxplot_stats(df: DataFrame, cols: list[str], by: list[str] | None = None,
     q = q.select("*", (F.col("q1") - whisker * (F.col("q3") - F.col("q1"))).alias("_lo"),
                  (F.col("q3") + whisker * (F.col("q3") - F.col("q1"))).alias("_hi"))
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    j = long.join(q, cond)
+    j = long.join(sent(q), cond)
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
     return j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),

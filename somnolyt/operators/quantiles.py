@@ -9,6 +9,11 @@ of any size reaches its task as the few values near the wanted ranks.
 
 Groups of at most ``WHOLE * accuracy`` rows are not bracketed: their distinct
 values are few enough to be counted as they are.
+
+The sketch of up to ``MAX_SENT`` groups goes to the rows as a broadcast, so rows
+are never shuffled by a group's key.  Where a group is so large that a bracket
+may hold more than ``SPAN`` values, running counts are taken within ``BINS``
+slices of a bracket, and the slices' totals are added.
 """
 
 from __future__ import annotations
@@ -16,11 +21,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Most rows that ``sent`` collects and broadcasts; values that one running count may hold; slices of a bracket.
+MAX_SENT, SPAN, BINS = 10_000, 1_000_000, 256
 #: Sketch size: a bracket holds about 4 / ACCURACY of a group's rows.
 ACCURACY = 10_000
 WHOLE = 20
 
 
+def sent(few: DataFrame) -> DataFrame:
+    """A frame of at most ``MAX_SENT`` rows as a broadcast, so that what it is
+    joined to stays where it is; a larger one as it is."""
+    rows = few.limit(MAX_SENT + 1).collect()
+    return few if len(rows) > MAX_SENT else F.broadcast(few.sparkSession.createDataFrame(rows, few.schema))
+
+
+def _slice(v: Column, probs: list[float]) -> Column:
+    """A slice number that does not decrease with ``v``: which bracket, and
+    where in it.  Values before the first bracket come first."""
+    out = F.lit(-1)
+    for place, i in reversed(list(enumerate(sorted(range(len(probs)), key=lambda i: probs[i])))):
+        lo, hi = F.col("_m")[2 * i], F.col("_m")[2 * i + 1]
+        within = F.when((hi > lo) & (hi - lo < float("inf")), F.floor((v - lo) / (hi - lo) * (BINS - 1))).otherwise(0)
+        out = F.when(v.between(lo, hi), place * BINS + within.cast("int")).otherwise(out)
+    return F.when(F.col("_m").isNull(), 0).otherwise(out)
+
+
 def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[float],
                     accuracy: int = ACCURACY) -> DataFrame:
     """(keys..., q): q is the array of linearly interpolated quantiles of the
@@ -36,7 +63,14 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    j = x.join(sketch, same) if keys else x.join(F.broadcast(sketch))  # one row without keys
+    rows = sketch.limit(MAX_SENT + 1).collect()
+    if len(rows) <= MAX_SENT:
+        largest = max((r["_n"] for r in rows), default=0)
+        sketch = F.broadcast(x.sparkSession.createDataFrame(rows, sketch.schema))
+    else:
+        sketch = materialize(sketch)
+        largest = sketch.agg(F.max("_n")).first()[0]
+    j = x.join(sketch, same)
     # inside a bracket: the value itself; between brackets: the end of the last bracket passed
     inside = F.col("_m").isNull()
     passed = F.lit(float("-inf"))
@@ -45,11 +79,22 @@ def exact_quantiles(long: DataFrame, keys: list[str], value: str, probs: list[fl
         inside = inside | F.col("_x").between(lo, hi)
         passed = F.greatest(passed, F.when(F.col("_x") > hi, hi).otherwise(F.lit(float("-inf"))))
     inside = F.coalesce(inside, F.lit(False))
+    deep = largest * 2 * reach > SPAN
     counted = (j.select(*keys, "_n", F.when(inside, F.col("_x")).otherwise(passed).alias("_v"),
-                        (~inside).cast("int").alias("_gap"))
-               .groupBy(*keys, "_n", "_v", "_gap").agg(F.count(F.lit(1)).alias("_c")))
-    run = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("_v", "_gap")
-    ranked = counted.withColumn("_end", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+                        (~inside).cast("int").alias("_gap"), *(["_m"] if deep else []))
+               .withColumn("_b", _slice(F.col("_v"), probs) if deep else F.lit(0))
+               .groupBy(*keys, "_n", "_b", "_v", "_gap").agg(F.count(F.lit(1)).alias("_c")))
+    run = Window.partitionBy(*keys, "_b").orderBy("_v", "_gap").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_end", F.sum("_c").over(run))
+    if deep:  # a group has at most BINS slices a bracket
+        earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        totals = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_t"))
+        before = totals.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], F.col("_b").alias("_ob"),
+                               F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+        meet = F.col("_b") == F.col("_ob")
+        for i, k in enumerate(keys):
+            meet = meet & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+        ranked = ranked.join(sent(before), meet).withColumn("_end", F.col("_end") + F.col("_before"))
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("_gap") == 0) & (index >= F.col("_end") - F.col("_c")) & (index < F.col("_end")), F.col("_v")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, sent
 
 GRID = 200
 CUT = 3.0
@@ -40,12 +40,12 @@ def kde(df: DataFrame, col: str, by: list[str] | None = None, grid: int = GRID,
           .filter((F.col("n") >= 2) & (F.col("sd") > 0)).withColumn("_h", h)
           .select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], "_h", lo.alias("_lo"),
                   ((hi - lo) / (grid - 1)).alias("_step"), F.col("n").alias("_n")))
-    same = F.lit(True)
+    st, same = sent(st), F.lit(True)
     for i, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
 
     def with_constants(frame: DataFrame) -> DataFrame:
-        return frame.join(st, same) if by else frame.join(F.broadcast(st))  # one row without groups
+        return frame.join(st, same)
     schema = T.StructType([f for f in df.schema.fields if f.name in by] + [
         T.StructField("point", T.IntegerType()), T.StructField("part", T.DoubleType())])
     points = np.arange(grid)
@@ -166,7 +166,7 @@ def mutual_information(tall: DataFrame, feature: str = "feature", value: str = "
     """MI between a decile-binned feature and the label (natural log).
     bin = number of the nine deciles strictly below the value."""
     q = exact_quantiles(tall, [feature], value, [i / 10 for i in range(1, 10)]).withColumnRenamed("q", "dec")
-    j = tall.join(q, feature)
+    j = tall.join(sent(q), feature)
     j = j.select(feature, label, F.size(F.filter("dec", lambda d: d < F.col(value))).alias("bin"))
     joint = j.groupBy(feature, "bin", label).agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window

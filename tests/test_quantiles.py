@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from somnolyt.operators import evaluate, profile, split
+from somnolyt.operators import evaluate, profile, quantiles, split
 from somnolyt.operators.quantiles import column_quantiles, even_buckets, exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
@@ -71,3 +71,28 @@ def test_confusion_matrix_of_classes_only_predicted(spark):
     df = spark.createDataFrame([(0, 0), (0, 2), (1, 1), (None, 1)], "label long, prediction long")
     got = {(r.label, r.prediction): r.n for r in evaluate.confusion_matrix(df).collect()}
     assert got == {(a, b): int((a, b) in {(0, 0), (0, 2), (1, 1)}) for a in range(3) for b in range(3)}
+
+
+@pytest.mark.parametrize("accuracy", [50, 20])
+def test_large_groups_are_counted_slice_by_slice(numbers, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "SPAN", 0)
+    test_equal_percentile(numbers, accuracy)
+    odd = numbers.select(F.lit(1).alias("g"), F.when(F.col("v") > 1, float("inf")).when(F.col("v") < -1, float("-inf")).otherwise(F.col("v")).alias("v"))
+    got = exact_quantiles(odd, ["g"], "v", [0.5, 0.4], accuracy).first().q
+    assert list(got) == pytest.approx(odd.agg(F.percentile("v", [0.5, 0.4])).first()[0])
+    assert exact_quantiles(numbers, [], "v", [0.3], accuracy).first().q[0] == pytest.approx(numbers.agg(F.percentile("v", 0.3)).first()[0])
+
+
+def test_many_groups_are_not_sent(numbers, monkeypatch):
+    monkeypatch.setattr(quantiles, "MAX_SENT", 2)
+    test_equal_percentile(numbers, 50)
+
+
+def test_rows_are_not_shuffled_by_group(spark, numbers):
+    """Between the scan and the first aggregation there is no exchange, also without broadcasts by size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_quantiles(numbers, ["g"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
