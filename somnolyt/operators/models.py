@@ -8,6 +8,7 @@ operators apply unchanged.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -19,7 +20,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -219,13 +220,25 @@ def metrics_table(pred: DataFrame, mode: str = "binario") -> DataFrame:
     return head.unionByName(ovr.select(F.lit("roc_auc_ovr_macro").alias("metric"), "value"))
 
 
+def training_rows(folded: DataFrame, fold: int, features: list[str], mode: str, key: str, seed: int,
+                  balance_scope: str = "train") -> DataFrame:
+    """The rows outside a fold, balanced among themselves unless told "none"."""
+    if balance_scope not in ("train", "none"):
+        raise ValueError(f"unknown balance_scope {balance_scope!r}")
+    rows = folded.filter(F.col("fold") != fold).drop("fold")
+    return rows if balance_scope == "none" else materialize(balanced(rows, features, mode, key, seed).drop("is_synthetic"))
+
+
 def cv_scores(matrix: DataFrame, features: list[str], model: str = "RandomForest",
-              mode: str = "binario", key: str = "row_id", k: int = 5, seed: int = 42) -> DataFrame:
-    """Per-fold score (ROC-AUC binary, accuracy multi-class) on stratified folds."""
-    folded = materialize(split.stratified_folds(matrix, "label", key, k, seed))
+              mode: str = "binario", key: str = "row_id", k: int = 5, seed: int = 42,
+              balance_scope: str = "train") -> DataFrame:
+    """Per-fold score (ROC-AUC binary, accuracy multi-class) on stratified
+    folds.  Each fold's training rows are balanced on their own ("train"), so no
+    synthetic row derives from a row it is scored on; "none" leaves them."""
+    folded = materialize(split.stratified_folds(recode.fill_and_finite(matrix, features, key), "label", key, k, seed))
     out = None
     for f in range(k):
-        m = fit(folded.filter(F.col("fold") != f).drop("fold"), features, model, mode == "multiclase")
+        m = fit(training_rows(folded, f, features, mode, key, seed, balance_scope), features, model, mode == "multiclase")
         pred = predict(m, folded.filter(F.col("fold") == f).drop("fold"), key)
         if mode == "binario":
             s = evaluate.roc_auc(pred).select(F.lit(f).alias("fold"), F.col("auc").alias("score"))
@@ -259,7 +272,8 @@ def _search_score(pred: DataFrame, mode: str, score: str) -> float:
 
 def random_search(matrix: DataFrame, features: list[str], model: str = "GradientBoosting",
                   space: dict | None = None, n_iter: int = 50, k: int = 5, mode: str = "binario",
-                  key: str = "row_id", seed: int = 42, score: str | None = None, parallelism: int = 4) -> DataFrame:
+                  key: str = "row_id", seed: int = 42, score: str | None = None, parallelism: int = 4,
+                  balance_scope: str = "train") -> DataFrame:
     """Trials table (trial, params, mean_score, std_score, mean_train_score)
     over k folds.  Fits run side by side; the scores are the reference's
     (boosting: ROC-AUC, else recall; macro recall with four classes), and the
@@ -271,10 +285,11 @@ def random_search(matrix: DataFrame, features: list[str], model: str = "Gradient
         matrix = encode.fit_standard(matrix, features).apply(matrix)
     folded = materialize(split.stratified_folds(matrix, "label", key, k, seed))
     trials = sample_params(space, n_iter, seed)
+    fitted_on = [training_rows(folded, f, features, mode, key, seed, balance_scope) for f in range(k)]
 
     def one(job: tuple[int, int]) -> tuple[float, float]:
         t, f = job
-        train, test = folded.filter(F.col("fold") != f).drop("fold"), folded.filter(F.col("fold") == f).drop("fold")
+        train, test = fitted_on[f], folded.filter(F.col("fold") == f).drop("fold")
         m = fit(train, features, model, mode == "multiclase", trials[t])
         return (_search_score(predict(m, test, key), mode, score), _search_score(predict(m, train, key), mode, score))
 
@@ -284,7 +299,7 @@ def random_search(matrix: DataFrame, features: list[str], model: str = "Gradient
     for t, p in enumerate(trials):
         test, train = zip(*got[t * k:(t + 1) * k])
         mean = sum(test) / k
-        rows.append((t, str(p), mean, (sum((x - mean) ** 2 for x in test) / k) ** 0.5, sum(train) / k))
+        rows.append((t, json.dumps(p), mean, (sum((x - mean) ** 2 for x in test) / k) ** 0.5, sum(train) / k))
     return matrix.sparkSession.createDataFrame(
         rows, "trial int, params string, mean_score double, std_score double, mean_train_score double")
 
@@ -293,15 +308,19 @@ def search_report(matrix: DataFrame, features: list[str], trials: DataFrame, mod
                   key: str = "row_id", seed: int = 42) -> DataFrame:
     """Metrics on the test split of the best trial's parameters, refitted:
     (params, metric, value)."""
-    import ast
     best = top_trials(trials, 1).first()["params"]
     train, test = holdout(recode.fill_and_finite(matrix, features, key), key, seed)
-    m = fit(train, features, model, mode == "multiclase", ast.literal_eval(best))
+    train = materialize(balanced(train, features, mode, key, seed).drop("is_synthetic"))
+    m = fit(train, features, model, mode == "multiclase", json.loads(best))
     return metrics_table(predict(m, test, key), mode).select(F.lit(best).alias("params"), "metric", "value")
 
 
 def top_trials(trials: DataFrame, n: int = 5) -> DataFrame:
-    return trials.orderBy(F.desc("mean_score"), "trial").limit(n)
+    """The n best trials with their rank; scores that agree to nine places tie,
+    and the earlier trial comes first.  A search has one row a trial, so one
+    task numbers them."""
+    order = Window.orderBy(F.desc(F.round("mean_score", 9)), "trial")
+    return trials.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).orderBy("rank")
 
 
 def save(model: PipelineModel, path: str, params=None, metrics: DataFrame | None = None) -> str:

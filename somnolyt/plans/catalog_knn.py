@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import impute, knn, recode
+from ..operators import impute, knn, models, recode, search
 from ..session import scratch_path
 from ..sources import cohort as src
 from . import oracle_sql as O
@@ -127,10 +127,11 @@ def q_sink_resampled(spark, sf_dir):
     return _tall(back.withColumn("is_synthetic", F.col("is_synthetic").cast("boolean")))
 
 
-_TOMEK = """nn1 AS MATERIALIZED (SELECT * FROM (SELECT a.row_id AS a, b.row_id AS b, a.label AS la, b.label AS lb,
-        row_number() OVER (PARTITION BY a.row_id ORDER BY {d2}, b.row_id) AS rk
-        FROM {src} a JOIN {src} b ON a.row_id <> b.row_id) WHERE rk = 1),
-links AS (SELECT x.a, x.b, x.la, x.lb FROM nn1 x JOIN nn1 y ON x.a = y.b AND x.b = y.a WHERE x.la <> x.lb)"""
+_TOMEK = """dist AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b, {d2} AS d2
+        FROM {src} a JOIN {src} b ON a.row_id <> b.row_id),
+near AS MATERIALIZED (SELECT a, min(struct_pack(d2 := d2, b := b)).b AS b FROM dist GROUP BY a),
+links AS (SELECT x.a, x.b, la.label AS la, lb.label AS lb FROM near x JOIN near y ON x.a = y.b AND x.b = y.a
+          JOIN {src} la ON la.row_id = x.a JOIN {src} lb ON lb.row_id = x.b WHERE la.label <> lb.label)"""
 
 
 @query("tomek_links", f"WITH {_emb_sql('label < 2')},\n{_TOMEK.format(d2=_D2, src='emb')}\n"
@@ -196,3 +197,38 @@ SELECT CAST(max(n) AS BIGINT) AS n_max, CAST(min(n) AS BIGINT) AS n_min, round(m
 def q_emb_imbalance(spark, sf_dir):
     """The 1.5 gate on the binary embedding labels."""
     return balance.class_counts_ratio(embeddings_binary(spark, sf_dir))
+
+
+_SEARCH_SQL = f"""WITH {_emb_sql('label < 2')},
+drawn AS (SELECT *, {_u('fold', 'row_id')} AS u FROM emb),
+folded AS (SELECT row_id, label, vector,
+  (row_number() OVER (PARTITION BY label ORDER BY u, row_id) - 1) % 5 AS fold FROM drawn),
+trials AS (SELECT unnest(range(50)) AS trial),
+weights AS (SELECT trial, pos, 2 * {_u('weight', 'trial', 'pos')} - 1 AS w
+            FROM trials, (SELECT unnest(range((SELECT max(len(vector)) FROM emb))) AS pos)),
+entry AS (SELECT row_id, label, fold, unnest(range(len(vector))) AS pos, unnest(vector) AS x FROM folded),
+z AS MATERIALIZED (SELECT trial, row_id, label, fold, sum(w * x) AS z FROM entry JOIN weights USING (pos) GROUP BY ALL),
+models AS (SELECT unnest(range(5)) AS f),
+means AS (SELECT trial, f, avg(z) FILTER (WHERE label = 0) AS m0, avg(z) FILTER (WHERE label = 1) AS m1
+          FROM z, models WHERE fold <> f GROUP BY trial, f),
+said AS (SELECT m.trial, f, label, fold = f AS held, CAST(
+           CASE WHEN m1 >= m0 THEN z >= m0 + {_u('share', 'm.trial')} * (m1 - m0)
+                ELSE z <= m0 + {_u('share', 'm.trial')} * (m1 - m0) END AS INTEGER) AS prediction
+         FROM means m JOIN z ON z.trial = m.trial),
+recall AS (SELECT trial, f, held, label, avg(CAST(label = prediction AS INTEGER)) AS r FROM said GROUP BY ALL),
+score AS (SELECT trial, f, held, avg(r) AS s FROM recall GROUP BY ALL),
+found AS (SELECT trial, avg(s) FILTER (WHERE held) AS mean_score, stddev_pop(s) FILTER (WHERE held) AS std_score,
+                 avg(s) FILTER (WHERE NOT held) AS mean_train_score FROM score GROUP BY trial)
+SELECT CAST(row_number() OVER (ORDER BY round(mean_score, 9) DESC, trial) AS INTEGER) AS rank, CAST(trial AS INTEGER) AS trial,
+  round({_u('share', 'trial')}, 6) AS share, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score,
+  round(mean_train_score, 6) AS mean_train_score
+FROM found QUALIFY rank <= 5"""
+
+
+@query("search_top_trials", _SEARCH_SQL)
+def q_search(spark, sf_dir):
+    """Five best of 50 drawn linear rules over 5 folds, with train scores."""
+    trials = search.linear_search(embeddings_binary(spark, sf_dir))
+    best = models.top_trials(trials, 5)
+    share = F.get_json_object("params", "$.share").cast("double").alias("share")
+    return best.select("rank", "trial", share, "mean_score", "std_score", "mean_train_score")
