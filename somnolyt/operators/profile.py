@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .gram import pair_correlations
 from .quantiles import column_quantiles, exact_quantiles, sent
 
 
@@ -93,34 +94,14 @@ def missing_correlation(df: DataFrame, cols: list[str]) -> DataFrame:
                     *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     n = n_miss["_n"]
     use = [c for c in cols if 0 < n_miss[c] < n]
-    pairs = [(use[i], use[j]) for i in range(len(use)) for j in range(i)]
-    schema = "var1 string, var2 string, corr double"
-    if len(use) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    flags = {c: F.col(c).isNull().cast("double") for c in use}
-    one = df.agg(*[F.corr(flags[a], flags[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*")
+    return pair_correlations(df.select(*[F.col(f"`{c}`").isNull().cast("double").alias(c) for c in use]), use)
 
 
 def correlation_pairs(df: DataFrame, cols: list[str], symmetric: bool = False) -> DataFrame:
     """Pearson r for every pair (var1 = later column, var2 = earlier), using
-    pairwise-complete rows.
-
-    Pairs are unpivoted (one (var1, var2, x, y) struct per pair, pipelined,
-    never materialised) and reduced by one grouped ``corr``: partial
-    aggregation happens map-side, so the shuffle carries one small buffer per
-    pair and partition.  A single wide aggregate with p(p-1)/2 ``corr``
-    columns would produce the same numbers but a plan too large to compile
-    quickly.  ``symmetric`` adds mirrored pairs and the unit diagonal.
-    """
-    pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    structs = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                        F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-               for a, b in pairs]
-    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
-    half = long.groupBy("var1", "var2").agg(F.corr("x", "y").alias("corr"))
+    pairwise-complete rows: one pass of matrix products (``gram``).
+    ``symmetric`` adds mirrored pairs and the unit diagonal."""
+    half = pair_correlations(df, cols)
     if not symmetric:
         return half
     mirror = F.explode(F.array(

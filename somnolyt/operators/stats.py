@@ -180,11 +180,85 @@ def mutual_information(tall: DataFrame, feature: str = "feature", value: str = "
                                   .alias("mutual_info"))
 
 
+def gammainc_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma Q(a, x): series below a + 1, else a continued fraction."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1.0 / a
+        n = a
+        while abs(term) > abs(total) * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1.0 - total * front)
+    b, c = x + 1 - a, 1e300
+    d = 1.0 / b
+    h = d
+    for i in range(1, 10_000):
+        step = -i * (i - a)
+        b += 2
+        d = 1.0 / (step * d + b or 1e-300)
+        c = b + step / c or 1e-300
+        h *= d * c
+        if abs(d * c - 1.0) < 1e-16:
+            break
+    return front * h
+
+
+def chi2_p(statistic: float | None, dof: float | None) -> float | None:
+    """Upper tail of the chi-squared distribution."""
+    if statistic is None or dof is None or not math.isfinite(statistic) or dof <= 0:
+        return None
+    return gammainc_upper(dof / 2.0, statistic / 2.0)
+
+
+@F.pandas_udf(T.DoubleType())
+def chi2_pvalue(statistic: pd.Series, dof: pd.Series) -> pd.Series:
+    """Chi-squared p-value per row (applied to test-result rows only)."""
+    return pd.Series([chi2_p(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b))
+                      for a, b in zip(statistic, dof)], dtype=float)
+
+
+def chi2_independence(counts: DataFrame, feature: str, level: str, group: str, n: str) -> DataFrame:
+    """(feature, chi2, dof, p) of each feature's levels by group, from counts
+    (feature, level, group, n).  Missing levels take no part.  With two rows and
+    two columns the statistic is corrected for continuity.  Fewer than two
+    levels or groups give no statistic.  A feature's contingency table is
+    small: rows of all its levels meet by feature."""
+    from pyspark.sql import Window
+    cells = counts.filter(F.col(level).isNotNull()).select(feature, level, group, F.col(n).cast("double").alias("_o"))
+    by = lambda *c: Window.partitionBy(feature, *c)
+    cells = cells.select("*", F.sum("_o").over(by(level)).alias("_r"), F.sum("_o").over(by(group)).alias("_c"),
+                         F.sum("_o").over(by()).alias("_n"))
+    # cells that do not occur add their expected count
+    sizes = cells.groupBy(feature).agg(F.count_distinct(level).alias("_rows"), F.count_distinct(group).alias("_cols"))
+    e = F.col("_r") * F.col("_c") / F.col("_n")
+    small = (F.col("_rows") == 2) & (F.col("_cols") == 2)
+    off = F.abs(F.col("_o") - e)
+    off = F.when(small, off - F.least(F.lit(0.5), off)).otherwise(off)
+    got = cells.join(sizes, feature).groupBy(feature, "_rows", "_cols").agg(
+        F.sum(off * off / e).alias("_s"), F.sum(e).alias("_e"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    # empty cells of a two by two table have equal expected counts, of what the others leave
+    rest, holes = F.col("_n") - F.col("_e"), F.col("_rows") * F.col("_cols") - F.col("_k")
+    short = rest / holes - F.least(F.lit(0.5), rest / holes)
+    empty = F.when((F.col("_rows") == 2) & (F.col("_cols") == 2), holes * short * short * holes / rest).otherwise(rest)
+    dof = (F.col("_rows") - 1) * (F.col("_cols") - 1)
+    chi2 = F.when(dof > 0, F.col("_s") + F.when(holes > 0, empty).otherwise(0.0))
+    out = got.select(feature, chi2.alias("chi2"), F.when(dof > 0, dof.cast("double")).alias("dof"))
+    return out.withColumn("p", chi2_pvalue("chi2", "dof"))
+
+
 def comparison_table(df: DataFrame, group: F.Column, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Features by group: n, missing, mean, std, median for numeric columns;
     count and percent (of the group's rows) per level for categorical ones.
     Rows whose group is missing are left out, and so are columns the frame
-    does not have."""
+    does not have.
+
+    ``statistic``, ``dof`` and ``p`` repeat on a feature's rows: Welch's t of a
+    numeric column where there are two groups (the first in order less the
+    second), chi-squared independence of a categorical one."""
     numeric, categorical = ([c for c in wanted if c in df.columns] for wanted in (numeric, categorical))
     g = df.select("*", group.alias("grp")).filter(F.col("grp").isNotNull())
     tall = g.select("grp", F.explode(F.array(*[
@@ -197,13 +271,29 @@ def comparison_table(df: DataFrame, group: F.Column, numeric: list[str], categor
     num = num.join(medians, ["grp", "feature"], "left").select(
         "feature", F.lit(None).cast("string").alias("level"), "grp", "n", "n_missing", "mean", "std",
         F.col("q")[0].alias("median"), F.lit(None).cast("double").alias("pct"))
+    num = num.join(_welch_of(tall).withColumnRenamed("feature", "_f"), F.col("feature") == F.col("_f"), "left").drop("_f")
     long = g.select("grp", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in categorical
     ])).alias("s")).select("grp", "s.feature", "s.level")
     from pyspark.sql import Window
     cat = long.groupBy("feature", "level", "grp").agg(F.count(F.lit(1)).alias("n"))
+    tests = chi2_independence(cat, "feature", "level", "grp", "n").select(
+        F.col("feature").alias("_f"), F.col("chi2").alias("statistic"), "dof", "p")
     cat = cat.select("feature", "level", "grp", "n", F.lit(None).cast("long").alias("n_missing"),
                      F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("std"),
                      F.lit(None).cast("double").alias("median"),
                      (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("feature", "grp"))).alias("pct"))
-    return num.unionByName(cat)
+    return num.unionByName(cat.join(tests, F.col("feature") == F.col("_f"), "left").drop("_f"))
+
+
+def _welch_of(tall: DataFrame) -> DataFrame:
+    """(feature, statistic, dof, p): Welch's t between the two groups of (grp,
+    feature, value); features with other than two groups have no row."""
+    per = tall.groupBy("feature", "grp").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    two = per.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("grp", "n", "m", "v"))).alias("g")).filter(F.size("g") == 2)
+    a, b = F.col("g")[0], F.col("g")[1]
+    sa, sb = a["v"] / a["n"], b["v"] / b["n"]
+    ok = (a["n"] > 1) & (b["n"] > 1) & (sa + sb > 0)
+    out = two.select("feature", F.when(ok, (a["m"] - b["m"]) / F.sqrt(sa + sb)).alias("statistic"),
+                     F.when(ok, (sa + sb) * (sa + sb) / (sa * sa / (a["n"] - 1) + sb * sb / (b["n"] - 1))).alias("dof"))
+    return out.withColumn("p", t_pvalue("statistic", "dof"))

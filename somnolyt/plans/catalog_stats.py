@@ -240,15 +240,33 @@ _GRP_SQL = "CASE WHEN nsrr_ahi_hp3r_aasm15 < 5 THEN 'AHI < 5' WHEN nsrr_ahi_hp3r
 
 def _comparison_sql():
     ch = O.cohort_chain().add("cg", f"SELECT *, {_GRP_SQL} AS grp FROM cohort WHERE {_GRP_SQL} IS NOT NULL")
-    parts = [f"""SELECT '{c}' AS feature, CAST(NULL AS VARCHAR) AS level, grp, CAST(count({c}) AS BIGINT) AS n,
-  CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing, round(avg({c}), 6) AS mean,
-  round(stddev_samp({c}), 6) AS std, round(quantile_cont({c}, 0.5), 6) AS median, CAST(NULL AS DOUBLE) AS pct
-FROM cg GROUP BY grp""" for c in CMP_NUM]
     cat = "\nUNION ALL\n".join(f"SELECT grp, '{c}' AS feature, CAST({c} AS VARCHAR) AS level FROM cg" for c in CMP_CAT)
-    parts.append(f"""SELECT feature, level, grp, CAST(n AS BIGINT) AS n, CAST(NULL AS BIGINT) AS n_missing,
+    num = "\nUNION ALL\n".join(f"SELECT grp, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM cg" for c in CMP_NUM)
+    ch.add("catlong", cat)
+    ch.add("numlong", num)
+    ch.add("cell", "SELECT feature, level, grp, count(*) AS o FROM catlong WHERE level IS NOT NULL GROUP BY ALL")
+    ch.add("lev", "SELECT feature, level, sum(o) AS r FROM cell GROUP BY ALL")
+    ch.add("gro", "SELECT feature, grp, sum(o) AS c FROM cell GROUP BY ALL")
+    ch.add("size", "SELECT feature, sum(r) AS n, count(*) AS nr, (SELECT count(*) FROM gro WHERE gro.feature = lev.feature) AS nc FROM lev GROUP BY feature")
+    ch.add("grid", """SELECT lev.feature, nr, nc, r * c / CAST(n AS DOUBLE) AS e, abs(coalesce(o, 0) - r * c / CAST(n AS DOUBLE)) AS off
+  FROM lev JOIN gro USING (feature) JOIN size USING (feature)
+  LEFT JOIN cell ON cell.feature = lev.feature AND cell.level = lev.level AND cell.grp = gro.grp""")
+    ch.add("chi", """SELECT feature, CASE WHEN (nr - 1) * (nc - 1) > 0 THEN sum(pow(off - CASE WHEN nr = 2 AND nc = 2 THEN least(0.5, off) ELSE 0 END, 2) / e) END AS statistic,
+  CASE WHEN (nr - 1) * (nc - 1) > 0 THEN CAST((nr - 1) * (nc - 1) AS DOUBLE) END AS dof FROM grid GROUP BY feature, nr, nc""")
+    ch.add("per", "SELECT feature, grp, count(v) AS n, avg(v) AS m, var_samp(v) / count(v) AS s FROM numlong GROUP BY ALL")
+    ch.add("welch", """SELECT a.feature, (a.m - b.m) / sqrt(a.s + b.s) AS statistic,
+  pow(a.s + b.s, 2) / (a.s * a.s / (a.n - 1) + b.s * b.s / (b.n - 1)) AS dof
+  FROM per a JOIN per b ON a.feature = b.feature AND a.grp = 'AHI < 5' AND b.grp = 'AHI >= 5'""")
+    parts = ["""SELECT feature, CAST(NULL AS VARCHAR) AS level, grp, CAST(count(v) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE v IS NULL) AS BIGINT) AS n_missing, round(avg(v), 6) AS mean,
+  round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, CAST(NULL AS DOUBLE) AS pct,
+  round(any_value(w.statistic), 6) AS statistic, round(any_value(w.dof), 6) AS dof
+FROM numlong JOIN welch w USING (feature) GROUP BY feature, grp"""]
+    parts.append("""SELECT feature, level, grp, CAST(n AS BIGINT) AS n, CAST(NULL AS BIGINT) AS n_missing,
   CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS median,
-  round(n * CAST(100 AS DOUBLE) / sum(n) OVER (PARTITION BY feature, grp), 6) AS pct
-FROM (SELECT feature, level, grp, count(*) AS n FROM ({cat}) GROUP BY feature, level, grp)""")
+  round(n * CAST(100 AS DOUBLE) / sum(n) OVER (PARTITION BY feature, grp), 6) AS pct,
+  round(chi.statistic, 6) AS statistic, round(chi.dof, 6) AS dof
+FROM (SELECT feature, level, grp, count(*) AS n FROM catlong GROUP BY feature, level, grp) JOIN chi USING (feature)""")
     return ch.sql("\nUNION ALL\n".join(parts))
 
 
@@ -258,4 +276,14 @@ def q_comparison(spark, sf_dir):
     from pyspark.sql import functions as Fn
     ahi = Fn.col("nsrr_ahi_hp3r_aasm15")
     grp = Fn.when(ahi < 5, "AHI < 5").when(ahi >= 5, "AHI >= 5")
-    return stats.comparison_table(src.cohort(spark, sf_dir), grp, CMP_NUM, CMP_CAT)
+    return stats.comparison_table(src.cohort(spark, sf_dir), grp, CMP_NUM, CMP_CAT).drop("p")
+
+
+@query("comparison_pvalues")
+def q_comparison_pvalues(spark, sf_dir):
+    """The p-values of the comparison table's tests, one row a feature
+    (no distribution function in SQL)."""
+    ahi = F.col("nsrr_ahi_hp3r_aasm15")
+    grp = F.when(ahi < 5, "AHI < 5").when(ahi >= 5, "AHI >= 5")
+    table = stats.comparison_table(src.cohort(spark, sf_dir), grp, CMP_NUM, CMP_CAT)
+    return table.select("feature", "statistic", "dof", "p").distinct()
