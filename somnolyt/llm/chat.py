@@ -1,9 +1,10 @@
 """Chat formatting [native]: typed content parts flattened to one string.
 
 A message holds typed parts (text, image, audio, document).  A visitor, one
-``transform`` over the parts, turns each into an ordered piece: text is
-escaped, every other kind becomes its placeholder, and the attachment's
-reference and expanded token count are recorded beside it.  Messages are then
+fold over the parts, lays them out in order: every kind but text becomes its
+placeholder, whose reference and expanded token count are recorded beside it,
+and the text between two placeholders is escaped as one run, so that no control
+string can arise where two text parts meet.  Messages are then
 framed and joined per conversation:
 
     <s>  [INST]role[/INST]text</s>  [INST]role[/INST]text</s>  ...
@@ -78,17 +79,19 @@ def visit_parts(parts: Column) -> Column:
     """The visitor: struct<body, attachments> of a message's parts, in order."""
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
 
-    def piece(p: Column) -> Column:
-        out = F.when(_kind(p) == "text", escape(F.coalesce(p["text"], F.lit(""))))
-        for kind, mark in PLACEHOLDER.items():
-            out = out.when(_kind(p) == kind, F.lit(mark))
-        return out
+    mark = F.create_map(*[F.lit(x) for kind in PLACEHOLDER.items() for x in kind])
+
+    def step(so_far: Column, p: Column) -> Column:
+        text = F.struct(so_far["out"].alias("out"), F.concat(so_far["run"], F.coalesce(p["text"], F.lit(""))).alias("run"))
+        other = F.struct(F.concat(so_far["out"], escape(so_far["run"]), mark[_kind(p)]).alias("out"), F.lit("").alias("run"))
+        return F.when(_kind(p) == "text", text).otherwise(other)
 
     def noted(p: Column, i: Column) -> Column:
         return F.struct(i.alias("part"), _kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))
 
     return let(parts, lambda ps: F.struct(
-        F.array_join(F.transform(ps, piece), "").alias("body"),
+        F.aggregate(ps, F.struct(F.lit("").alias("out"), F.lit("").alias("run")), step,
+                    lambda a: F.concat(a["out"], escape(a["run"]))).alias("body"),
         F.filter(F.transform(ps, noted), lambda a: a["kind"] != "text").alias("attachments")))
 
 

@@ -66,6 +66,28 @@ def test_chat_parts(spark):
     assert row.expanded_tokens == 825
 
 
+def test_chat_is_reversible_over_parts(spark):
+    """Control strings cut into parts at every place, in texts and roles, with attachments between."""
+    r = random.Random(9)
+    controls = ["<s>", "</s>", "[INST]", "[/INST]", "[IMAGE]", "[AUDIO]", "[DOCUMENT]", "<\\/s>", "[\\\\INST]", "<", "[", "\\"]
+    text = lambda t: ("text", t, None, None, None, None, None)
+    image = ("image", None, "a.png", 28, 28, None, None)
+    rows = [(i, 0, "user", [text(c[:at]), text(c[at:])]) for i, (c, at) in enumerate((c, at) for c in controls for at in range(len(c) + 1))]
+    for i in range(len(rows), len(rows) + 120):
+        whole, parts = "".join(r.choices([*controls, "a", " "], k=6)), []
+        while whole:
+            cut = r.randrange(1, len(whole) + 1)
+            parts += [text(whole[:cut])] + [image] * (r.random() < 0.2)
+            whole = whole[cut:]
+        rows.append((i, 0, "".join(r.choices(controls, k=2)), parts))
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {x.conv_id: x for x in chat.format_conversations(frame).select("*", chat.parse_formatted(F.col("formatted")).alias("t")).collect()}
+    for i, _, role, parts in rows:
+        assert [(t.role, t.text) for t in got[i].t] == [(role, "".join(p[1] if p[0] == "text" else "[IMAGE]" for p in parts))]
+        assert got[i].formatted.count("[IMAGE]") == len(got[i].attachments) == sum(p[0] == "image" for p in parts)
+        assert got[i].formatted.count("</s>") == got[i].formatted.count("[INST]") == 1
+
+
 def test_exact(docs, none):
     got = exact.exact_dedup(docs).collect()
     want = {"": 4, "onetwothree": 4}
