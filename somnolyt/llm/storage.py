@@ -20,4 +20,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     what led to it, and values that depend on the partitioning stay fixed."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables of ``stored`` frames that nothing will read again: call
+    it only once all that was made from them is stored itself."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

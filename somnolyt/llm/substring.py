@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import stored
+from .storage import discard, stored
 from .textkit import words_of
 
 LENGTH = 35
@@ -271,8 +271,9 @@ def packed_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED) -> DataFrame:
-    """(tid, spans): the repeated spans of each text that has any."""
-    anchors = docs.select("text").mapInArrow(_anchor_task(length), "anchor long, tid binary, first int, n int")
+    """(tid, spans): the repeated spans of each text that has any, written, so
+    that a join on tid can split the rows of a common text."""
+    anchors = stored(docs.select("text").mapInArrow(_anchor_task(length), "anchor long, tid binary, first int, n int"), "anchor-rows")
     # written, so that the join below deals both sides anew and can split a common anchor's rows
     counts = stored(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= 2), "anchors")
     listed = (anchors.join(counts, "anchor")
@@ -283,6 +284,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
     texts = _texts(docs)
     cut = stored(texts.join(listed, "tid").select("tid", "packed", "listed", "times").mapInArrow(
         _cut_task(length), "shard long, crowded boolean, words binary, tid binary, first int, times long"), "passages")
+    discard(anchors, counts)
     windows = (cut.filter("crowded").groupBy("shard", "words").agg(F.sum("times").alias("times")).filter("times >= 2")
                .select("shard", "words", F.lit(None).cast("binary").alias("tid"), F.lit(0).alias("first"), "times"))
     shards = (cut.filter("not crowded").select("shard", "words", "tid", "first", "times").unionByName(windows)
@@ -292,7 +294,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowded: int = CROWDED
     hot = (cut.filter("crowded").select("shard", "words", "tid", "first")
            .join(spans.filter("tid is null").select("shard", "words"), ["shard", "words"], "left_semi")
            .select("tid", F.col("first").alias("begin"), (F.col("first") + length).alias("end")))
-    return direct.unionByName(hot).groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    found = stored(direct.unionByName(hot).groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "repeats")
+    discard(cut, spans)
+    return found
 
 
 def _texts(docs: DataFrame) -> DataFrame:
