@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .textkit import batch_of, gather, slices
+from .textkit import batch_of, byte_alphabet, gather, slices
 
 #: Steps of a piece; tokens after which a chunk is closed; texts and characters that are tokenised at a time
 #: (one longer text goes alone); links that are laid out at a time.
@@ -62,14 +62,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _WHOLE = re.compile(r"^ | (?:\s|$)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Byte of each character of the byte-level alphabet: printable Latin-1
-    characters stand for themselves, the other bytes for 256, 257, ... in order."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class TokenizerPair:
     """Tokenizers A (byte-level BPE) and B (pieces with byte fallback), and the
     bytes of their tokens.

@@ -22,40 +22,50 @@ text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .storage import stored
-from .textkit import TwoGenerationCache, batch_of, coded_words, gather, slices
+from .textkit import batch_of, byte_alphabet, coded_words, gather, slices
 
 LENGTH = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
 _END = np.array([END_ID], "<u2").tobytes()
-#: Entries of one generation of a worker's memos of words and of pieces; texts
-#: and new pieces that go through at a time.
-MEMO_WORDS, MEMO_PIECES, TEXTS_AT_ONCE, PIECES_AT_ONCE = 300_000, 150_000, 500, 2000
+#: Texts and characters that go through at a time (one longer text goes alone).
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 2000, 2_000_000
 
-#: The pre-tokenizer pattern of the public vocabulary file (fixed value).
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The pre-tokenizer pattern of the public vocabulary file (fixed value), and a break between words.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+#: A marked piece: its bytes as characters, the last one 256 higher.
+_MARKED = r"[\x00-\xff]*[\u0100-\u01ff]"
 
 
-class WordTokenizer:
-    """Ids of the public word tokenizer, worked out once per distinct word.
+def marked(raw: bytes) -> str:
+    return raw[:-1].decode("latin-1") + chr(0x100 + raw[-1])
+
 
-    The tokenizer drops white space and no merge crosses it, so a text's ids
-    are its words' ids in order.  Latin-1 words need no normal form; they are
-    lower-cased and cut into the tokenizer's own pieces here, and many new
-    pieces go through the library as one text: each piece's ids end in the one
-    id that ends a word.  All other words go through the library one by one, as
+class WordTokenizer:
+    """Ids of the public word tokenizer, worked out once per distinct word of a
+    slice of texts.
+
+    The tokenizer drops white space and no merge crosses it, so a text's ids are
+    its words' ids in order.  Latin-1 words need no normal form; they are
+    lower-cased and cut into the tokenizer's own pieces here, and all pieces are
+    merged in one call of a rank encoder: the file's merges make the ids in
+    order, and a piece's last byte, whose symbol ends a word, is marked as a
+    character of its own.  All other words go through the library one by one, as
     do words that hold one of the file's added tokens: those have no white
     space, so none spans two words, and letters as well as signs, so none is
     ever one piece."""
@@ -66,39 +76,61 @@ class WordTokenizer:
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = TwoGenerationCache(None, MEMO_WORDS)
-        self.pieces = TwoGenerationCache(None, MEMO_PIECES)
+        self.coder = self._rank_coder(path, vocabulary)
+        self.last = {c: marked(c.encode()) for c in map(chr, range(128))}
+
+    @staticmethod
+    def _rank_coder(path: str, vocabulary: dict[str, int]) -> tiktoken.Encoding | None:
+        """The merges as ranks; None if the file's ids are not in the order of its merges."""
+        with open(path, encoding="utf-8") as text:
+            merges = json.load(text)["model"]["merges"]
+        made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        if made != list(range(512, 512 + len(made))):
+            return None
+        alphabet, ranks = byte_alphabet(), {}
+        for token, i in vocabulary.items():
+            raw = bytes(alphabet[c] for c in token.removesuffix("</w>"))
+            ranks[(marked(raw) if token.endswith("</w>") else raw.decode("latin-1")).encode()] = i
+        for b in range(256):  # halves of two-byte characters: they never stay alone
+            ranks.setdefault(bytes([b]), (1 << 16) + b)
+        return tiktoken.Encoding("words", pat_str=_MARKED, mergeable_ranks=ranks, special_tokens={})
 
     def _library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, as little-endian unsigned 16-bit numbers."""
-        out = []
-        for at in range(0, len(pieces), PIECES_AT_ONCE):
-            part = pieces[at:at + PIECES_AT_ONCE]
-            ids = self._library_ids(" ".join(part))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            raw = ids.astype("<u2").tobytes()
-            if len(stops) != len(part):  # a piece that is more than one word to the library
-                out.extend(self._library_ids(p).astype("<u2").tobytes() for p in part)
-                continue
-            starts = [0, *(2 * stops[:-1]).tolist()]
-            out.extend(raw[a:b] for a, b in zip(starts, (2 * stops).tolist()))
-        return out
-
-    def _new_words(self, words: list[str]) -> list[bytes]:
-        simple = [max(w) <= "\xff" and not any(token in w for token in self.added) for w in words]
-        cut = [_PIECE.findall(w.lower()) if s else [] for w, s in zip(words, simple)]
-        parts = self.pieces.many_lists(cut, self._new_pieces)
-        return [b"".join(p) if s else self._library_ids(w).astype("<u2").tobytes() for w, s, p in zip(words, simple, parts)]
+    def _latin(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, ids per word) of Latin-1 words, all pieces in one call; None if
+        an id does not end where its piece does."""
+        pieces = _PIECE.findall("\n".join(words).lower() + "\n")
+        last = self.last
+        shown = ["" if p == "\n" else p[:-1] + last[p[-1]] if p.isascii() else marked(p.encode()) for p in pieces]
+        ids = np.array(self.coder.encode_ordinary("".join(shown)), np.int64)
+        breaks = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
+        stops = np.r_[0, np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1]
+        before = np.cumsum(~breaks)[breaks]  # pieces up to each word's end
+        if len(before) != len(words) or len(stops) - 1 != len(pieces) - len(words) or ids.max(initial=0) >= len(self.ends):
+            return None
+        return ids.astype(np.uint16), np.diff(stops[before], prepend=0)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of whole texts as unsigned 16-bit numbers (null: none)."""
         words, codes, ends = coded_words(texts)
-        (values,) = self.words.many_lists([words], self._new_words)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 2
-        ids = gather(np.frombuffer(b"".join(values), "<u2"), lengths, codes)
+        joined = "\n".join(words)
+        held = [token for token in self.added if token in joined]
+        simple = [w.isascii() or max(w) <= "\xff" for w in words]
+        if held:
+            simple = [s and not any(token in w for token in held) for w, s in zip(words, simple)]
+        latin = [w for w, s in zip(words, simple) if s]
+        done = self._latin(latin) if latin and self.coder is not None else None
+        if done is None:
+            done, simple = (np.zeros(0, np.uint16), np.zeros(0, np.int64)), [False] * len(words)
+        others = [self._library_ids(w) for w, s in zip(words, simple) if not s]
+        simple = np.array(simple, bool)
+        place = np.empty(len(words), np.int64)
+        place[simple], place[~simple] = np.arange(simple.sum()), simple.sum() + np.arange(len(others))
+        lengths = np.r_[done[1], np.array(list(map(len, others)), np.int64)]
+        codes = place[codes]
+        ids = gather(np.concatenate([done[0], *others]), lengths, codes)
         stops = np.r_[0, np.cumsum(lengths[codes])][ends]
         return np.split(ids, stops[:-1])
 
@@ -148,6 +180,15 @@ def hilbert_index(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, bounded in rows and in the characters of column 2."""
+    for part in slices(batch, TEXTS_AT_ONCE):
+        slot = np.cumsum(pc.utf8_length(part.column(2)).fill_null(0).to_numpy(zero_copy_only=False)) // CHARS_AT_ONCE
+        starts = np.flatnonzero(np.diff(slot, prepend=-1))
+        for at, to in zip(starts.tolist(), [*starts[1:].tolist(), part.num_rows]):
+            yield part.slice(at, to - at)
+
+
 TOKENS = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
@@ -157,7 +198,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, table = word_tokenizer(path), signs()
         for whole in batches:
-            for batch in slices(whole, TEXTS_AT_ONCE):
+            for batch in _parts(whole):
                 counts, blobs, points = [], [], np.zeros((batch.num_rows, DIMENSIONS))
                 for i, ids in enumerate(code.ids(batch.column(2))):
                     if len(ids):
