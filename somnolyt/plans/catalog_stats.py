@@ -60,7 +60,7 @@ def _grouped_kde_sql(rows: str, by: list[str]) -> str:
     return _kde_sql(ch.sql("")[len("WITH "):].rstrip() + ",", "gv", by)
 
 
-PAIR_DENSITY = ["nsrr_age", "nsrr_bmi", "nsrr_ahi_hp3r_aasm15"]
+PAIR_DENSITY = ["nsrr_age", "nsrr_bmi", "nsrr_bp_systolic", "nsrr_ahi_hp3r_aasm15"]
 
 
 @query("kde_by_gender", _grouped_kde_sql("""SELECT * FROM (SELECT CASE WHEN CAST(nsrr_sex AS INTEGER) = 1 THEN 'Male'
