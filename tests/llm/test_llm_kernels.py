@@ -205,18 +205,82 @@ def test_many_middling_passages_of_a_long_text_add_up():
     assert all((model.probability(*model.segments(t)) >= 0.5) == label for t, label in sample)
 
 
+def _all_segmentations(word, pieces, p):
+    """Probability of a word by plain recursion over its first piece."""
+    done = {b"": np.ones(p.shape[1])}
+
+    def plain(rest):
+        if rest not in done:
+            done[rest] = sum((p[i] * plain(rest[len(x):]) for x, i in pieces.items() if rest.startswith(x)), np.zeros(p.shape[1]))
+        return done[rest]
+    return plain(word)
+
+
+_PIECES = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4, b" ": 5, b" ab": 6, b"bbab": 7}
+_P = np.array([[.2, .1], [.3, .2], [.1, .4], [.25, .2], [.15, .1], [.3, .1], [.2, .3], [.05, .02]])
+
+
 def test_forward_sums_all_segmentations():
-    pieces = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
-    p = np.array([[.2, .1], [.3, .2], [.1, .4], [.25, .2], [.15, .1], [0, 0]])
-
-    def plain(word):
-        if not word:
-            return np.ones(2)
-        return sum((p[i] * plain(word[len(x):]) for x, i in pieces.items() if word.startswith(x)), np.zeros(2))
-    for word in (b"a", b"abab", b"ababa", b"bbb"):
-        alpha = langid.forward(langid.piece_grid([word], pieces), p)
-        beta = langid.backward(langid.piece_grid([word], pieces), p)
-        assert alpha[0, -1] == pytest.approx(plain(word)) and beta[0, 0] == pytest.approx(plain(word))
+    vocab = langid.Vocabulary(_PIECES)
+    for words in ([b"a"], [b"abab", b"bbab", b"aaaa"], [b" ab"], [b"ababa", b" bbab"]):
+        lattice = langid.Lattice(words, vocab)
+        alpha, beta = lattice.forward(_P), lattice.backward(_P)
+        for at, word in enumerate(words):
+            want = _all_segmentations(word, _PIECES, _P)
+            assert alpha[at, -1] == pytest.approx(want) and beta[at, 0] == pytest.approx(want)
+            assert langid.rolling_log(word, vocab, _P) == pytest.approx(np.log(want))
+
+
+@pytest.mark.parametrize("size", [33, 64, 200])
+def test_words_of_any_length_are_summed_whole(size):
+    vocab, r = langid.Vocabulary(_PIECES), random.Random(size)
+    word = b" " + bytes(r.choice(b"ab") for _ in range(size))
+    want = np.log(_all_segmentations(word, _PIECES, _P))
+    assert langid.rolling_log(word, vocab, _P) == pytest.approx(want)
+    assert np.log(langid.Lattice([word], vocab).forward(_P)[0, -1]) == pytest.approx(want)
+
+
+def test_rolling_window_does_not_underflow():
+    vocab = langid.Vocabulary(_PIECES)
+    p = _P * np.array([1e-7, 1e-9])
+    once, twice = (langid.rolling_log(b" " + b"a" * n, vocab, p) for n in (20_000, 40_000))
+    assert np.isfinite(twice).all() and twice - once == pytest.approx(20_000 * np.log(p[0]), rel=1e-9)
+
+
+def test_long_words_add_the_same_expected_counts():
+    vocab, p, word = langid.Vocabulary(_PIECES), _P[:, 0], b" abbabaab"
+    lattice, expected, long = langid.Lattice([word], vocab), np.zeros(8), np.zeros(8)
+    alpha, beta = lattice.forward(p[:, None])[:, :, 0], lattice.backward(p[:, None])[:, :, 0]
+    for i, j, rows, ids in lattice.steps:
+        np.add.at(expected, ids, 3 / alpha[rows, -1] * alpha[rows, i] * p[ids] * beta[rows, j])
+    langid.expect_long(word, 3, vocab, p, long)
+    assert long == pytest.approx(expected)
+    assert sum(n * len(x) for n, x in zip(long, _PIECES)) == pytest.approx(3 * len(word))
+
+
+def test_text_without_spaces_is_one_word():
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    vocab = langid.vocabulary(path)
+    assert vocab.size == 50_256 and vocab.trie[b" the"] >= 0 and vocab.longest == 33
+    text = "donaudampfschifffahrtsgesellschaft" * 30
+    assert langid.words_of(text) == [text] and langid.spelled("ab") == b" ab"
+    learned = {"de": {vocab.trie[b"schaft"]: .4, vocab.trie[b"fahr"]: .3}, "en": {vocab.trie[b" the"]: .5}}
+    scorer = langid.Scorer(path, ["de", "en"], learned)
+    (lang, score), other = scorer.score([text, "the " + text[:40] + " the"])
+    assert lang == "de" and score > 0.99 and not any(len(w) > langid.MEMO_WORD for w in scorer.memo.young)
+    apart = [scorer.score(["the " * 3])[0], scorer.score([text])[0]]
+    assert apart[0][0] == "en" and apart[1] == (lang, score)
+    logs = [np.array(scorer._logs([w])[w]) for w in ("the", text[:40], "the")]
+    total = sum(logs)
+    assert other[1] == pytest.approx(float(1 / np.exp(total - total.max()).sum()))
+
+
+def test_language_sample_takes_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 10)
+    rows = [(1, "ab" * 40_000, "x")] + [(i, "cd ef", "y") for i in range(2, 9) if i != 5]
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"),
+                           P.path("byte_bpe_multi_50k.tiktoken"), 1000, 999)
+    assert set(learned) == {"x", "y"} and sum(learned["x"].values()) == pytest.approx(1, abs=0.01)
 
 
 def test_network_scores_do_not_depend_on_neighbours_or_slabs(monkeypatch):
