@@ -164,6 +164,21 @@ def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
                                  "feature string, importance double, rank int")
 
 
+#: Features a report lists.
+REPORTED = 10
+
+
+def report(metrics: DataFrame, importances: DataFrame, k: int = REPORTED) -> DataFrame:
+    """(section, rank, name, value): a model's metrics, then its k most
+    important features in order."""
+    lines = metrics.select(F.lit("metric").alias("section"), F.lit(None).cast("int").alias("rank"),
+                           F.col("metric").alias("name"), F.col("value").cast("double").alias("value"))
+    top = importances.filter(F.col("rank") <= k).select(
+        F.lit("feature").alias("section"), F.col("rank").cast("int").alias("rank"), F.col("feature").alias("name"),
+        F.col("importance").alias("value"))
+    return lines.unionByName(top)
+
+
 def balanced(matrix: DataFrame, features: list[str], mode: str = "binario", key: str = "row_id", seed: int = 42) -> DataFrame:
     """The matrix (key, features..., label) after the balancing policy, with
     is_synthetic; missing and infinite features are 0 beforehand."""

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import models
 from ..session import scratch_path
 from ..sources import cohort as src
+from . import oracle_sql as O
 from .catalog import _preprocessed
+from .catalog_matrix import BMI_DUMMIES, PRE_FEATURES, _matrix_sql
 from .matrix import apply_model_matrix, fit_model_matrix, to_tall
 from .registry import query
 
@@ -50,6 +52,15 @@ def q_importance(spark, sf_dir):
     return models.feature_importance(model, params.features)
 
 
+@query("model_report")
+def q_model_report(spark, sf_dir):
+    """A10: metrics and the ten most important features of the trained forest
+    as one (section, rank, name, value) table."""
+    m, params = _matrix(spark, sf_dir)
+    model, _, metrics = models.train_evaluate(m, params.features, "RandomForest", "binario", key=KEY)
+    return models.report(metrics, models.feature_importance(model, params.features))
+
+
 @query("cv_scores")
 def q_cv(spark, sf_dir):
     """Per-fold ROC-AUC of the forest over stratified 5 folds."""
@@ -90,7 +101,24 @@ def q_batch_score(spark, sf_dir):
     return models.predict(models.load(path), m, KEY).select(KEY, "prediction", "score")
 
 
-@query("score_new_patients")
+def _new_patient_sql() -> str:
+    """The literal patient by the cohort's levels, medians and ranges: text is
+    recoded, flags and bands are derived, what it lacks is 0."""
+    ch = _matrix_sql()
+    ch.add("lit", """SELECT CAST(-1 AS BIGINT) AS patient_id, CAST(30 AS DOUBLE) AS nsrr_age, CAST(0 AS DOUBLE) AS nsrr_sex,
+  CAST(38.8829556 AS DOUBLE) AS nsrr_bmi, CAST(97 AS DOUBLE) AS nsrr_bp_systolic, CAST(66 AS DOUBLE) AS nsrr_bp_diastolic,
+  CAST(0 AS DOUBLE) AS nsrr_current_smoker, CAST(0 AS DOUBLE) AS nsrr_ever_smoker, CAST(NULL AS DOUBLE) AS nsrr_ahi_hp3r_aasm15""")
+    last = O.add_features(ch, "lit", "g")
+    lacks = {"nsrr_race", "nsrr_ethnicity", "apnea_central", "apnea_obstructiva"}
+    parts = [f"SELECT patient_id, '{c}' AS feature, CAST({'NULL' if c in lacks else c} AS DOUBLE) AS raw FROM {last}" for c in PRE_FEATURES]
+    parts += [f"SELECT patient_id, 'bmi_categoria_{v}', CAST(bmi_categoria = '{v}' AS DOUBLE) FROM {last}" for v in BMI_DUMMIES]
+    parts.append(f"SELECT patient_id, 'categoria_pa_' || value, CAST(categoria_pa = value AS DOUBLE) FROM {last} CROSS JOIN lvpa WHERE rn > 1")
+    ch.add("new", "\nUNION ALL\n".join(parts))
+    return ch.sql("""SELECT patient_id, feature,
+  round(coalesce((raw - med) / CASE WHEN q3 - q1 = 0 THEN 1 ELSE q3 - q1 END, CAST(0 AS DOUBLE)), 6) AS value FROM new JOIN sc USING (feature)""")
+
+
+@query("score_new_patients", _new_patient_sql())
 def q_new_patients(spark, sf_dir):
     """A new patient encoded and scaled with the cohort-fitted parameters."""
     _, params = _matrix(spark, sf_dir)

@@ -5,13 +5,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import features, split, stats
+from ..operators import features, mutual, pca, split, stats
 from ..session import scratch_path
 from ..sources import cohort as src
+from ..sources import typed_csv
 from . import oracle_sql as O
 from .catalog import _PRE_DOUBLES, _preprocessed
 from .catalog_eval import MULTI_SQL, scored_multi
@@ -161,14 +160,108 @@ def q_mi(spark, sf_dir):
     return stats.mutual_information(tall)
 
 
-@query("pca_projection")
+def _digamma_sql(n: str) -> str:
+    y = f"(CAST({n} AS DOUBLE) + 6)"
+    z = f"(1 / ({y} * {y}))"
+    steps = " ".join(f"- 1 / (CAST({n} AS DOUBLE) + {i})" for i in range(6))
+    return (f"(ln({y}) - 0.5 / {y} - {z} * (1 / CAST(12 AS DOUBLE) - {z} * (1 / CAST(120 AS DOUBLE) - {z} * (1 / CAST(252 AS DOUBLE)"
+            f" - {z} * (1 / CAST(240 AS DOUBLE) - {z} / 132)))) {steps})")
+
+
+def _mi_knn_sql(k: int = 3) -> str:
+    ch = _matrix_sql()
+    ch.add("mm", """SELECT feature, CAST(label AS INTEGER) AS label,
+  (raw - med) / CASE WHEN q3 - q1 = 0 THEN 1 ELSE q3 - q1 END + 0.0 AS v FROM tall JOIN sc USING (feature)
+  WHERE label IS NOT NULL AND raw IS NOT NULL""")
+    ch.add("vals", """SELECT *, sum(c) OVER (PARTITION BY feature, label) AS n FROM (
+  SELECT feature, label, v, count(*) AS c FROM mm GROUP BY ALL) QUALIFY n > 1""")
+    ch.add("near", f"""SELECT feature, label, v, least({k}, n - 1) AS kk, c, n, d,
+  sum(k) OVER (PARTITION BY feature, label, v ORDER BY d) AS seen FROM (
+  SELECT a.feature, a.label, a.v, a.c, a.n, abs(a.v - b.v) AS d, b.c - CAST(a.v = b.v AS INTEGER) AS k
+  FROM vals a JOIN vals b ON a.feature = b.feature AND a.label = b.label)""")
+    ch.add("radii", "SELECT feature, label, v, kk, c, n, min(d) FILTER (WHERE seen >= kk) AS r FROM near GROUP BY feature, label, v, kk, c, n")
+    ch.add("around", """SELECT r.feature, r.label, r.v, r.kk, r.c, r.n, sum(p.c) AS m
+  FROM radii r JOIN (SELECT feature, v, sum(c) AS c FROM vals GROUP BY ALL) p ON p.feature = r.feature
+   AND CASE WHEN r.r = 0 THEN p.v = r.v ELSE p.v > r.v - r.r AND p.v < r.v + r.r END
+  GROUP BY r.feature, r.label, r.v, r.kk, r.c, r.n""")
+    return ch.sql(f"""SELECT feature, round(greatest(CAST(0 AS DOUBLE), {_digamma_sql('sum(c)')}
+  + sum(c * ({_digamma_sql('kk')} - {_digamma_sql('n')} - {_digamma_sql('m')})) / sum(c)), 6) AS mutual_info
+FROM around GROUP BY feature""")
+
+
+@query("mutual_information_knn", _mi_knn_sql())
+def q_mi_knn(spark, sf_dir):
+    """H6: mutual information of every feature and the label by nearest neighbours."""
+    tall, _, _ = _tall_matrix(spark, sf_dir)
+    return mutual.mutual_information_knn(tall)
+
+
+def _pca_chain(squarings: int = 14):
+    """Two components by squaring the covariance until its first eigenvector is
+    all that is left, then the same on what that one does not explain."""
+    ch = _matrix_sql()
+    ch.add("mm", """SELECT patient_id, feature, (raw - med) / CASE WHEN q3 - q1 = 0 THEN 1 ELSE q3 - q1 END AS value
+FROM tall JOIN sc USING (feature)""")
+    ch.add("dev", "SELECT patient_id, feature, value - avg(value) OVER (PARTITION BY feature) AS x FROM mm")
+    ch.add("cov0", """SELECT a.feature AS i, b.feature AS j, sum(a.x * b.x) / (count(*) - 1) AS v
+FROM dev a JOIN dev b USING (patient_id) GROUP BY ALL""", stored=True)
+    for c in range(2):
+        ch.add(f"s{c}_0", f"SELECT i, j, v / max(abs(v)) OVER () AS v FROM cov{c}", stored=True)
+        for k in range(squarings):
+            ch.add(f"s{c}_{k + 1}", f"""SELECT i, j, v / max(abs(v)) OVER () AS v FROM (
+  SELECT a.i, b.j, sum(a.v * b.v) AS v FROM s{c}_{k} a JOIN s{c}_{k} b ON a.j = b.i GROUP BY ALL)""", stored=True)
+        ch.add(f"u{c}", f"""SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM s{c}_{squarings}
+WHERE j = (SELECT i FROM s{c}_{squarings} WHERE i = j ORDER BY v DESC, i LIMIT 1)""")
+        ch.add(f"v{c}", f"SELECT i, v * (SELECT sign(v) FROM u{c} ORDER BY round(abs(v), 9) DESC, i LIMIT 1) AS v FROM u{c}")
+        ch.add(f"lam{c}", f"SELECT sum(a.v * m.v * b.v) AS l FROM cov{c} m JOIN v{c} a ON a.i = m.i JOIN v{c} b ON b.i = m.j")
+        ch.add(f"cov{c + 1}", f"""SELECT m.i, m.j, m.v - l * a.v * b.v AS v
+FROM cov{c} m JOIN v{c} a ON a.i = m.i JOIN v{c} b ON b.i = m.j CROSS JOIN lam{c}""", stored=True)
+    ch.add("vecs", "SELECT 0 AS component, i, v, l FROM v0 CROSS JOIN lam0 UNION ALL SELECT 1, i, v, l FROM v1 CROSS JOIN lam1")
+    return ch
+
+
+def _pca_fit(spark, sf_dir):
+    m, params = fit_model_matrix(_preprocessed(spark, sf_dir), "binario")
+    return m, pca.fit(m, params.features, 2)
+
+
+@query("pca_projection", _pca_chain().sql("""SELECT patient_id, CAST(component AS INTEGER) AS component, round(sum(mm.value * vecs.v), 6) AS value
+FROM mm JOIN vecs ON mm.feature = vecs.i GROUP BY patient_id, component"""))
 def q_pca(spark, sf_dir):
     """H7: first two principal components of the robust-scaled matrix."""
-    m, params = fit_model_matrix(_preprocessed(spark, sf_dir), "binario")
-    va = VectorAssembler(inputCols=params.features, outputCol="features", handleInvalid="keep")
-    pca = PCA(k=2, inputCol="features", outputCol="pcs").fit(va.transform(m))
-    out = pca.transform(va.transform(m)).select("patient_id", vector_to_array("pcs").alias("pcs"))
-    return out.select("patient_id", F.posexplode("pcs").alias("component", "value"))
+    m, found = _pca_fit(spark, sf_dir)
+    return found.project(m, ["patient_id"])
+
+
+@query("pca_components", _pca_chain().sql("""SELECT CAST(component AS INTEGER) AS component, i AS feature, round(v, 6) AS loading,
+  round(l, 6) AS variance, round(l / (SELECT sum(v) FROM cov0 WHERE i = j), 6) AS share FROM vecs"""))
+def q_pca_components(spark, sf_dir):
+    """H7: loadings, variances and explained shares of the two components."""
+    return _pca_fit(spark, sf_dir)[1].table(spark)
+
+
+@query("quarantine_load", f"""WITH cohort AS ({src.cohort_sql()}),
+t AS (SELECT patient_id, patient_id % 211 = 5 AS age_bad, patient_id % 223 = 7 AS pressure_bad, patient_id % 227 = 9 AS ragged FROM cohort)
+SELECT patient_id, CASE WHEN ragged THEN 'fields' WHEN age_bad OR pressure_bad THEN 'value' ELSE 'typed' END AS status,
+  CASE WHEN ragged THEN '' WHEN age_bad AND pressure_bad THEN 'nsrr_age,nsrr_bp_systolic' WHEN age_bad THEN 'nsrr_age'
+       WHEN pressure_bad THEN 'nsrr_bp_systolic' ELSE '' END AS unfit,
+  CASE WHEN NOT (ragged OR age_bad OR pressure_bad) THEN nsrr_age END AS nsrr_age FROM t JOIN cohort USING (patient_id)""")
+def q_quarantine(spark, sf_dir):
+    """A1: the cohort as CSV text, with unreadable numbers and rows of too many
+    fields on fixed patients, read with inferred types and a quarantine."""
+    who, text = F.col("patient_id"), []
+    for name in ("patient_id", "nsrr_age", "nsrr_bp_systolic", "nsrr_sex"):
+        bad = {"nsrr_age": who % 211 == 5, "nsrr_bp_systolic": who % 223 == 7}.get(name, F.lit(False))
+        value = F.when(bad, F.lit("n.m.")).otherwise(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        text.append(value)
+    line = F.concat(F.concat_ws(",", *text), F.when(who % 227 == 9, ",more").otherwise(""))
+    path = scratch_path(spark, f"sink/raw-{uuid.uuid4().hex}")
+    src.cohort(spark, sf_dir).select(line.alias("value")).write.text(path)
+    got = typed_csv.read_typed(spark, path, names=["patient_id", "nsrr_age", "nsrr_bp_systolic", "nsrr_sex"])
+    rows = got.rows.select("patient_id", F.lit("typed").alias("status"), F.lit("").alias("unfit"), F.col("nsrr_age").cast("double"))
+    ident = F.coalesce(F.get_json_object("record", "$.patient_id"), F.split("record", ",")[0]).cast("long")
+    return rows.unionByName(got.quarantine.select(ident.alias("patient_id"), F.col("reason").alias("status"),
+                                                  F.array_join("columns", ",").alias("unfit"), F.lit(None).cast("double").alias("nsrr_age")))
 
 
 @query("sink_roundtrip", O.preprocessed_chain("median")[0].sql(

@@ -21,13 +21,17 @@ class Chain:
 
     def __init__(self):
         self.ctes: list[tuple[str, str]] = []
+        self.stored: set[str] = set()
 
-    def add(self, name: str, sql: str) -> "Chain":
+    def add(self, name: str, sql: str, stored: bool = False) -> "Chain":
+        """``stored``: worked out once, however often it is read."""
         self.ctes.append((name, sql))
+        if stored:
+            self.stored.add(name)
         return self
 
     def sql(self, final: str) -> str:
-        body = ",\n".join(f"{n} AS (\n{s}\n)" for n, s in self.ctes)
+        body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in self.stored else ''}(\n{s}\n)" for n, s in self.ctes)
         return f"WITH {body}\n{final}"
 
 
