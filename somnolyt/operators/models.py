@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import balance, encode, evaluate, recode, split
+from . import balance, boosting, encode, evaluate, recode, split
 
 # Default hyper-parameters of the reference models.
 RF_DEFAULTS = dict(maxBins=64, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
@@ -76,8 +76,8 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
         stages.append(clf)
     elif model == "GradientBoosting":
         p = {**GBT_DEFAULTS, **params}
-        gbt = GBTClassifier(labelCol="label", featuresCol="features", **p)
-        stages.append(OneVsRest(classifier=gbt, labelCol="label", featuresCol="features") if multiclass else gbt)
+        stages.append(boosting.MultinomialBoosting(featureNames=features, **p) if multiclass
+                      else GBTClassifier(labelCol="label", featuresCol="features", **p))
     elif model == "SVM":
         p = {**SVM_DEFAULTS, **params}
         stages.append(PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"))
