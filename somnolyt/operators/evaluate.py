@@ -93,8 +93,15 @@ def average_precision(df: DataFrame, score="score", label="label", by=None) -> D
     return g.agg(F.sum(term).alias("average_precision"))
 
 
+def _judged(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """The rows with a label and a prediction; a missing one is no class."""
+    return df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+
+
 def binary_metrics(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
-    """accuracy and class-1 precision / recall / F1 (0 when undefined)."""
+    """accuracy and class-1 precision / recall / F1 (0 when undefined), over
+    the n rows with a label and a prediction."""
+    df = _judged(df, label, prediction)
     y, p = F.col(label), F.col(prediction)
     tp, fp, fn = (F.count_if((y == 1) & (p == 1)), F.count_if((y != 1) & (p == 1)),
                   F.count_if((y == 1) & (p != 1)))
@@ -108,7 +115,8 @@ def binary_metrics(df: DataFrame, label="label", prediction="prediction") -> Dat
 
 def per_class(df: DataFrame, label="label", prediction="prediction") -> DataFrame:
     """(class, tp, n_true, n_pred, precision, recall, f1) over the union of
-    true and predicted classes."""
+    true and predicted classes.  Rows without a label or a prediction are left out."""
+    df = _judged(df, label, prediction)
     true = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("n_true"),
                                                        F.count_if(F.col(label) == F.col(prediction)).alias("tp"))
     pred = df.groupBy(F.col(prediction).alias("class")).agg(F.count(F.lit(1)).alias("n_pred"))
@@ -150,7 +158,7 @@ def confusion_matrix(df: DataFrame, label="label", prediction="prediction") -> D
     One grouped count gives the filled cells; the classes found in it span the
     grid of cells, which is the size of the result.  A missing label or
     prediction is no class and its rows are left out."""
-    cells = (df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    cells = (_judged(df, label, prediction)
              .groupBy(F.col(label).cast("long").alias("label"), F.col(prediction).cast("long").alias("prediction"))
              .agg(F.count(F.lit(1)).alias("n")))
     classes = cells.select(F.explode(F.array("label", "prediction")).alias("c")).agg(F.collect_set("c").alias("cs"))

@@ -4,7 +4,8 @@
 column's quartiles are computed on the rows left by earlier columns.  Every
 column costs one exact quantile (two aggregations, see ``quantiles``) and one
 count over a materialised input.  The predicates are literals, so the plan
-grows by one filter per column.
+grows by one filter per column.  ``simultaneous=True`` takes every column's
+bounds from the whole input instead.
 """
 
 from __future__ import annotations
@@ -38,13 +39,18 @@ AUDIT_SCHEMA = T.StructType([
 def outlier_filter_sequential(df: DataFrame, cols: list[str] | None = None,
                               skip: list[str] = CRITICAL, factor: float = 3.0,
                               max_share: float = 0.05,
-                              key: str = KEY, skip_cols: list[str] | None = None):
+                              key: str = KEY, skip_cols: list[str] | None = None,
+                              simultaneous: bool = False):
     """Return ``(filtered_df, audit_df)``.
 
     For each numeric column (schema order, skipping ``skip``): bounds are
     ``q1 - factor*iqr`` / ``q3 + factor*iqr`` (strict); rows outside are
     removed only when they are fewer than ``max_share`` of the current rows.
     Rows whose value is missing are kept.
+
+    ``simultaneous``: bounds and counts of all columns come from the rows given,
+    not from those that earlier columns left, so any number of columns costs
+    one quantile computation and one count.
     """
     cols = cols if cols is not None else numeric_columns(df, key)
     cols = [c for c in cols if c not in skip and c not in (skip_cols or [])]
@@ -55,6 +61,16 @@ def outlier_filter_sequential(df: DataFrame, cols: list[str] | None = None,
 
     keep = F.lit(True)
     audit = []
+    if simultaneous:
+        bounds = {c: q or (None, None) for c, q in column_quantiles(base, cols, [0.25, 0.75]).items()}
+        out = [F.coalesce(_is_out(c, *bounds[c], factor), F.lit(False)) for c in cols]
+        n, *n_out = base.agg(F.count(F.lit(1)), *[F.count_if(o).alias(f"n{i}") for i, o in enumerate(out)]).first()
+        for i, c in enumerate(cols):
+            removed = 0 < n_out[i] < n * max_share
+            if removed:
+                keep = keep & ~out[i]
+            audit.append(_audit_row(i, c, bounds[c], factor, n_out[i], n, removed))
+        return base.filter(keep), spark.createDataFrame(audit, AUDIT_SCHEMA)
     for i, c in enumerate(cols):
         left = base.filter(keep)
         q1, q3 = column_quantiles(left, [c], [0.25, 0.75])[c] or (None, None)

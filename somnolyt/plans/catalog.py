@@ -104,15 +104,15 @@ def _outlier_sql(final_cols=True):
     return ch
 
 
-def _outlier_filter_sql():
+def _outlier_filter_sql(simultaneous=False):
     ch = _outlier_sql()
-    last = O.add_outlier_chain(ch, "imputed")
+    last = O.add_outlier_chain(ch, "imputed", simultaneous=simultaneous)
     return ch.sql(O.rounded_select(_RECODED_COLS, set(O.NUMERIC), last))
 
 
-def _outlier_audit_sql():
+def _outlier_audit_sql(simultaneous=False):
     ch = _outlier_sql()
-    O.add_outlier_chain(ch, "imputed")
+    O.add_outlier_chain(ch, "imputed", simultaneous=simultaneous)
     parts = []
     for i, c in enumerate(O.OUTLIER_COLS):
         parts.append(
@@ -143,6 +143,20 @@ def q_outlier_audit(spark, sf_dir):
     return audit
 
 
+@query("outlier_filter_simultaneous", _outlier_filter_sql(True))
+def q_outlier_all(spark, sf_dir):
+    """D1-D2 with every column's bounds from the whole input."""
+    df, _ = outliers.outlier_filter_sequential(_median_imputed(spark, sf_dir), simultaneous=True)
+    return df
+
+
+@query("outlier_audit_simultaneous", _outlier_audit_sql(True))
+def q_outlier_audit_all(spark, sf_dir):
+    """D3 with every column's bounds from the whole input."""
+    _, audit = outliers.outlier_filter_sequential(_median_imputed(spark, sf_dir), simultaneous=True)
+    return audit
+
+
 # ---------------------------------------------------------------- derived features
 
 def _rec_sql(final: str) -> str:

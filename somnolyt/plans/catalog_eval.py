@@ -67,14 +67,17 @@ cum AS (SELECT score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, su
 roc AS (SELECT score AS threshold, fp / N AS fpr, tp / P AS tpr FROM cum)"""
 
 
-@query("binary_metrics", _w(SCORED_SQL) + """SELECT round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy,
+_BINARY_SQL = """SELECT round(avg(CAST(label = prediction AS DOUBLE)), 6) AS accuracy,
   round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
   round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
   round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT *, CAST(count(*) FILTER (WHERE label = 1 AND prediction = 1) OVER () AS DOUBLE) AS tp,
   CAST(count(*) FILTER (WHERE label <> 1 AND prediction = 1) OVER () AS DOUBLE) AS fp,
   CAST(count(*) FILTER (WHERE label = 1 AND prediction <> 1) OVER () AS DOUBLE) AS fn FROM scored)
-GROUP BY tp, fp, fn""")
+GROUP BY tp, fp, fn"""
+
+
+@query("binary_metrics", _w(SCORED_SQL) + _BINARY_SQL)
 def q_binary_metrics(spark, sf_dir):
     """L1-L2: accuracy, precision, recall, F1 of class 1."""
     return ev.binary_metrics(scored_binary(spark, sf_dir))
@@ -96,12 +99,15 @@ def q_macro(spark, sf_dir):
     return ev.macro_metrics(scored_multi(spark, sf_dir))
 
 
-@query("classification_report", _w(MULTI_SQL, _PER_CLASS) + """SELECT CAST(c AS VARCHAR) AS "row", round(precision, 6) AS precision,
+_REPORT_SQL = """SELECT CAST(c AS VARCHAR) AS "row", round(precision, 6) AS precision,
   round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(n_true AS BIGINT) AS support FROM pcm
 UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(n_true), 6), CAST(sum(n_true) AS BIGINT) FROM pcm
 UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(n_true) AS BIGINT) FROM pcm
 UNION ALL SELECT 'weighted avg', round(sum(precision * n_true) / sum(n_true), 6), round(sum(recall * n_true) / sum(n_true), 6),
-  round(sum(f1 * n_true) / sum(n_true), 6), CAST(sum(n_true) AS BIGINT) FROM pcm""")
+  round(sum(f1 * n_true) / sum(n_true), 6), CAST(sum(n_true) AS BIGINT) FROM pcm"""
+
+
+@query("classification_report", _w(MULTI_SQL, _PER_CLASS) + _REPORT_SQL)
 def q_report(spark, sf_dir):
     """Per-class report with accuracy, macro and weighted averages."""
     return ev.classification_report(scored_multi(spark, sf_dir))
@@ -112,8 +118,10 @@ _CM = """cm AS (SELECT a.c AS label, b.c AS prediction,
   FROM cls a CROSS JOIN cls b)"""
 
 
-@query("confusion_matrix", _w(MULTI_SQL, _PER_CLASS, _CM) +
-       "SELECT CAST(label AS BIGINT) AS label, CAST(prediction AS BIGINT) AS prediction, CAST(n AS BIGINT) AS n FROM cm")
+_CM_SQL = "SELECT CAST(label AS BIGINT) AS label, CAST(prediction AS BIGINT) AS prediction, CAST(n AS BIGINT) AS n FROM cm"
+
+
+@query("confusion_matrix", _w(MULTI_SQL, _PER_CLASS, _CM) + _CM_SQL)
 def q_cm(spark, sf_dir):
     """L4: confusion matrix with zero cells."""
     cm = ev.confusion_matrix(scored_multi(spark, sf_dir))
@@ -143,8 +151,11 @@ def q_top_conf(spark, sf_dir):
                     F.col("n").cast("long"), F.col("correct").cast("long"), F.col("total").cast("long"))
 
 
-@query("roc_curve", _w(SCORED_SQL, _DIST) + """SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc
-UNION ALL SELECT NULL, 0.0, 0.0""")
+_ROC_SQL = """SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc
+UNION ALL SELECT NULL, 0.0, 0.0"""
+
+
+@query("roc_curve", _w(SCORED_SQL, _DIST) + _ROC_SQL)
 def q_roc(spark, sf_dir):
     """ROC points per distinct score."""
     return ev.roc_curve(scored_binary(spark, sf_dir))
@@ -167,8 +178,11 @@ def q_pr(spark, sf_dir):
     return ev.pr_curve(scored_binary(spark, sf_dir))
 
 
-@query("average_precision", _w(SCORED_SQL, _DIST) + """SELECT round(sum((r - lag_r) * p), 6) AS average_precision FROM (
-  SELECT tp / P AS r, tp / (tp + fp) AS p, lag(tp / P, 1, 0) OVER (ORDER BY score DESC) AS lag_r FROM cum)""")
+_AP_SQL = """SELECT round(sum((r - lag_r) * p), 6) AS average_precision FROM (
+  SELECT tp / P AS r, tp / (tp + fp) AS p, lag(tp / P, 1, 0) OVER (ORDER BY score DESC) AS lag_r FROM cum)"""
+
+
+@query("average_precision", _w(SCORED_SQL, _DIST) + _AP_SQL)
 def q_ap(spark, sf_dir):
     """Average precision."""
     return ev.average_precision(scored_binary(spark, sf_dir))
@@ -202,14 +216,17 @@ def q_ovr(spark, sf_dir):
     return per.unionByName(macro)
 
 
-@query("score_histogram", _w(SCORED_SQL) + """SELECT label, bin, round(mn + bin * (span / 30), 6) AS lower,
+_HIST_SQL = """SELECT label, bin, round(mn + bin * (span / 30), 6) AS lower,
   round(mn + (bin + 1) * (span / 30), 6) AS upper, CAST(n AS BIGINT) AS n,
   round(n / (sum(n) OVER (PARTITION BY label) * (span / 30)), 6) AS density FROM (
   SELECT label, least(CAST(floor((score - mn) / span * 30) AS INTEGER), 29) AS bin, any_value(mn) AS mn,
          any_value(span) AS span, count(*) AS n
   FROM scored JOIN (SELECT label AS l2, min(score) AS mn,
        CASE WHEN max(score) > min(score) THEN max(score) - min(score) ELSE 1.0 END AS span FROM scored GROUP BY label)
-    ON label = l2 WHERE score IS NOT NULL GROUP BY label, bin)""")
+    ON label = l2 WHERE score IS NOT NULL GROUP BY label, bin)"""
+
+
+@query("score_histogram", _w(SCORED_SQL) + _HIST_SQL)
 def q_score_hist(spark, sf_dir):
     """30-bin density histogram of scores per true class."""
     return ev.score_histogram(scored_binary(spark, sf_dir), by=["label"])
@@ -290,3 +307,79 @@ def q_eval_report(spark, sf_dir):
         for name, col in (("precision", "precision"), ("recall", "recall"), ("f1", "f1"), ("support", "n_true"))
     ])).alias("t")).select(F.lit("class").alias("section"), "t.*")
     return head.unionByName(auc).unionByName(ap).unionByName(cvl).unionByName(cls)
+
+
+# ---------------------------------------------------------------- labels and scores that are missing
+
+# Rule (ours): which rows lack a label, which a score and so a prediction.
+NO_LABEL, NO_SCORE = 11, 13
+
+
+def _with_gaps(scored):
+    """The scored rows, some without a label, a score or both."""
+    def gapped(spark, sf_dir):
+        n = F.col("n_chars")
+        docs = src.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "n_chars")
+        rows = scored(spark, sf_dir).join(docs, "row_id")
+        lost = {"label": NO_LABEL, "score": NO_SCORE, "prediction": NO_SCORE}
+        return rows.select("row_id", *[F.when(n % lost[c] != 0, F.col(c)).alias(c) for c in rows.columns if c in lost])
+    return gapped
+
+
+def _gaps_sql(whole: str, name: str, where: str) -> str:
+    """The same rows in SQL: ``name`` becomes the rows that ``where`` leaves."""
+    columns = f"CASE WHEN n_chars % {NO_LABEL} <> 0 THEN label END AS label, CASE WHEN n_chars % {NO_SCORE} <> 0 THEN prediction END AS prediction"
+    if name == "scored":
+        columns += f", CASE WHEN n_chars % {NO_SCORE} <> 0 THEN score END AS score"
+    return (whole.replace(f"{name} AS (", f"{name}_all AS (")
+            + f""",
+{name}_gaps AS (SELECT row_id, {columns} FROM {name}_all JOIN (SELECT doc_id AS row_id, n_chars FROM documents) USING (row_id)),
+{name} AS (SELECT * FROM {name}_gaps WHERE {where})""")
+
+
+_ON_CURVE = _gaps_sql(SCORED_SQL, "scored", "label IS NOT NULL AND score IS NOT NULL")
+_JUDGED = _gaps_sql(MULTI_SQL, "multi", "label IS NOT NULL AND prediction IS NOT NULL")
+_DRAWN = _gaps_sql(SCORED_SQL, "scored", "score IS NOT NULL")
+_gappy, _gappy_multi = _with_gaps(scored_binary), _with_gaps(scored_multi)
+
+
+@query("binary_metrics_gaps", _w(_ON_CURVE) + _BINARY_SQL)
+def q_binary_gaps(spark, sf_dir):
+    """L1-L2 where labels and predictions are missing."""
+    return ev.binary_metrics(_gappy(spark, sf_dir))
+
+
+@query("classification_report_gaps", _w(_JUDGED, _PER_CLASS) + _REPORT_SQL)
+def q_report_gaps(spark, sf_dir):
+    """L6 where labels and predictions are missing."""
+    return ev.classification_report(_gappy_multi(spark, sf_dir))
+
+
+@query("confusion_matrix_gaps", _w(_JUDGED, _PER_CLASS, _CM) + _CM_SQL)
+def q_cm_gaps(spark, sf_dir):
+    """L4 where labels and predictions are missing."""
+    return ev.confusion_matrix(_gappy_multi(spark, sf_dir))
+
+
+@query("roc_curve_gaps", _w(_ON_CURVE, _DIST) + _ROC_SQL)
+def q_roc_gaps(spark, sf_dir):
+    """L7 where labels and scores are missing."""
+    return ev.roc_curve(_gappy(spark, sf_dir))
+
+
+@query("roc_auc_gaps", _w(_ON_CURVE, _DIST) + _AUC_SQL)
+def q_auc_gaps(spark, sf_dir):
+    """L8 where labels and scores are missing."""
+    return ev.roc_auc(_gappy(spark, sf_dir))
+
+
+@query("average_precision_gaps", _w(_ON_CURVE, _DIST) + _AP_SQL)
+def q_ap_gaps(spark, sf_dir):
+    """L11 where labels and scores are missing."""
+    return ev.average_precision(_gappy(spark, sf_dir))
+
+
+@query("score_histogram_gaps", _w(_DRAWN) + _HIST_SQL.replace("ON label = l2", "ON label IS NOT DISTINCT FROM l2"))
+def q_hist_gaps(spark, sf_dir):
+    """L12 where labels and scores are missing; rows without a label are a group."""
+    return ev.score_histogram(_gappy(spark, sf_dir), by=["label"])

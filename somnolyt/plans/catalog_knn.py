@@ -156,6 +156,19 @@ def q_smote_tomek(spark, sf_dir):
     return _tall(balance.smote_tomek(embeddings_binary(spark, sf_dir)))
 
 
+def embeddings_plane(spark, sf_dir):
+    """The first two components, where the classes overlap."""
+    return embeddings_binary(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 2))
+
+
+@query("smote_tomek_plane", f"WITH {_emb_sql('label < 2').replace('AS DOUBLE[])', 'AS DOUBLE[])[1:2]')},\n{_smote_ctes()},\n"
+       f"{_TOMEK.format(d2=_D2, src='sm')},\nkept AS (SELECT * FROM sm WHERE row_id NOT IN (SELECT a FROM links))\n"
+       + _TALL_SQL.format(src="kept"))
+def q_smote_tomek_plane(spark, sf_dir):
+    """I5 on rows that still have links after SMOTE."""
+    return _tall(balance.smote_tomek(embeddings_plane(spark, sf_dir)))
+
+
 def _adasyn_sql():
     return f"""WITH {_emb_sql('floor(label / 3)')},
 cnt AS (SELECT label, count(*) AS n FROM emb GROUP BY label),

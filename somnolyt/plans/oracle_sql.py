@@ -81,15 +81,17 @@ def imputed_simple_sql(strategy: str, src: str = "dense") -> tuple[str, str]:
 
 
 def add_outlier_chain(ch: Chain, src: str, factor: float = 3.0, share: float = 0.05,
-                      cols: list[str] = OUTLIER_COLS) -> str:
-    """Sequential 3*IQR rule: one quartile / count / filter CTE per column.
+                      cols: list[str] = OUTLIER_COLS, simultaneous: bool = False) -> str:
+    """3*IQR rule: one quartile / count / filter CTE per column, over what the
+    columns before it left or, ``simultaneous``, over all rows.
     Returns the name of the last CTE."""
     prev = src
     for i, c in enumerate(cols):
-        ch.add(f"oq{i}", f"SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {prev}")
+        seen = src if simultaneous else prev
+        ch.add(f"oq{i}", f"SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {seen}")
         ch.add(f"ob{i}", f"SELECT q1, q3, q1 - {factor} * (q3 - q1) AS lo, q3 + {factor} * (q3 - q1) AS hi FROM oq{i}")
         ch.add(f"on{i}", f"SELECT count(*) AS n, count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS n_out "
-                         f"FROM {prev} CROSS JOIN ob{i}")
+                         f"FROM {seen} CROSS JOIN ob{i}")
         ch.add(f"o{i}", f"SELECT p.* FROM {prev} p CROSS JOIN ob{i} CROSS JOIN on{i} "
                         f"WHERE NOT (n_out > 0 AND n_out < n * CAST({share} AS DOUBLE) "
                         f"AND coalesce(p.{c} < lo OR p.{c} > hi, false))")
