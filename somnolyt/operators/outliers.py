@@ -1,10 +1,12 @@
 """Interquartile-range outlier rules.
 
 ``outlier_filter_sequential`` reproduces the order-dependent rule: each
-column's quartiles are computed on the rows left by earlier columns.  Every
-column costs one exact quantile (two aggregations, see ``quantiles``) and one
-count over a materialised input.  The predicates are literals, so the plan
-grows by one filter per column.  ``simultaneous=True`` takes every column's
+column's quartiles are computed on the rows left by earlier columns.  Columns
+are measured several at once over a materialised input (one exact quantile
+computation, see ``quantiles``, and one count); what was measured ahead holds
+until a column removes rows, and the columns after it are measured again.  So
+the passes go with the columns that remove rows, not with all columns.  The
+predicates are literals, so the plan grows by one filter per such column.  ``simultaneous=True`` takes every column's
 bounds from the whole input instead.
 """
 
@@ -22,6 +24,9 @@ from .recode import numeric_columns
 # Columns never filtered by the 3*IQR rule.
 CRITICAL = ["nsrr_ahi_hp3r_aasm15", "nsrr_bmi", "nsrr_age"]
 
+#: Columns measured at once at first; twice as many after each run of columns
+#: without a removal, half as many after one with it.
+FIRST_WIDTH = 8
 
 AUDIT_SCHEMA = T.StructType([
     T.StructField("step", T.IntegerType()),
@@ -59,31 +64,35 @@ def outlier_filter_sequential(df: DataFrame, cols: list[str] | None = None,
     if not cols:
         return base, spark.createDataFrame([], AUDIT_SCHEMA)
 
-    keep = F.lit(True)
-    audit = []
-    if simultaneous:
-        bounds = {c: q or (None, None) for c, q in column_quantiles(base, cols, [0.25, 0.75]).items()}
-        out = [F.coalesce(_is_out(c, *bounds[c], factor), F.lit(False)) for c in cols]
-        n, *n_out = base.agg(F.count(F.lit(1)), *[F.count_if(o).alias(f"n{i}") for i, o in enumerate(out)]).first()
-        for i, c in enumerate(cols):
-            removed = 0 < n_out[i] < n * max_share
+    keep, audit = F.lit(True), []
+    width = len(cols) if simultaneous else FIRST_WIDTH
+    while len(audit) < len(cols):
+        ahead = cols[len(audit):len(audit) + width]
+        removed = False
+        for c, bounds, n_out, n in _measured(base.filter(keep), ahead, factor):
+            removed = 0 < n_out < n * max_share
+            audit.append(_audit_row(len(audit), c, bounds, factor, n_out, n, removed))
             if removed:
-                keep = keep & ~out[i]
-            audit.append(_audit_row(i, c, bounds[c], factor, n_out[i], n, removed))
-        return base.filter(keep), spark.createDataFrame(audit, AUDIT_SCHEMA)
-    for i, c in enumerate(cols):
-        left = base.filter(keep)
-        q1, q3 = column_quantiles(left, [c], [0.25, 0.75])[c] or (None, None)
-        out = F.coalesce(_is_out(c, q1, q3, factor), F.lit(False))
-        row = left.agg(F.count(F.lit(1)).alias("n"), F.count_if(out).alias("n_out")).first()
-        n, n_out = row["n"], row["n_out"]
-        removed = 0 < n_out < n * max_share
-        if removed:
-            keep = keep & ~out
-        audit.append(_audit_row(i, c, (q1, q3), factor, n_out, n, removed))
+                keep = keep & ~_outside(c, bounds, factor)
+                if not simultaneous:
+                    break  # what was measured for later columns holds for other rows
+        width = max(1, width // 2) if removed else 2 * width
     return base.filter(keep), spark.createDataFrame(audit, AUDIT_SCHEMA)
 
 
+def _measured(rows: DataFrame, cols: list[str], factor: float) -> list[tuple]:
+    """(column, quartiles, n_outliers, n_rows) of each column over the same rows."""
+    quartiles = {c: tuple(q or (None, None)) for c, q in column_quantiles(rows, cols, [0.25, 0.75]).items()}
+    n, *n_out = rows.agg(F.count(F.lit(1)), *[F.count_if(_outside(c, quartiles[c], factor)).alias(f"n{i}")
+                                              for i, c in enumerate(cols)]).first()
+    return [(c, quartiles[c], n_out[i], n) for i, c in enumerate(cols)]
+
+
+def _outside(c: str, quartiles: tuple, factor: float) -> F.Column:
+    """Beyond the bounds; a missing value is not."""
+    return F.coalesce(_is_out(c, *quartiles, factor), F.lit(False))
+
+
 def _is_out(c: str, q1, q3, factor: float) -> F.Column:
     if q1 is None or q3 is None:
         return F.lit(False)

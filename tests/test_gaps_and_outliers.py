@@ -45,3 +45,30 @@ def test_adasyn_counts_follow_the_rounding(spark):
     want = sum(round(s / sum(share) * (60 - len(few))) for s in share)
     df = spark.createDataFrame(rows, "row_id long, label int, vector array<double>")
     assert balance.adasyn(df).filter("is_synthetic").count() == want
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 8])
+def test_measuring_ahead_changes_nothing(spark, monkeypatch, width):
+    """The sequential rule by plain loops, whatever number of columns is measured at once."""
+    import numpy as np
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 6))
+    for c in (1, 2, 4):
+        x[r.choice(300, 5, replace=False), c] = 40.0
+    x[:60, 5] = 30.0          # too many to be removed
+    x[r.random((300, 6)) < 0.03] = np.nan
+    names = [f"c{i}" for i in range(6)]
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in row)) for i, row in enumerate(x)],
+                               "patient_id long, " + ", ".join(f"{c} double" for c in names))
+    left, want = np.arange(300), []
+    for c in range(6):
+        q1, q3 = np.nanpercentile(x[left, c], [25, 75])
+        out = (x[left, c] < q1 - 3 * (q3 - q1)) | (x[left, c] > q3 + 3 * (q3 - q1))
+        gone = 0 < out.sum() < len(left) * 0.05
+        want.append((names[c], pytest.approx(q1), pytest.approx(q3), out.sum(), len(left), "removed" if gone else "kept" if out.any() else "none"))
+        left = left[~out] if gone else left
+    monkeypatch.setattr(outliers, "FIRST_WIDTH", width)
+    got, audit = outliers.outlier_filter_sequential(df, names)
+    assert [(a.column, a.q1, a.q3, a.n_outliers, a.n_rows, a.action) for a in audit.orderBy("step").collect()] == want
+    assert sorted(a.patient_id for a in got.collect()) == left.tolist()
+    assert sum(w[-1] == "removed" for w in want) >= 2
