@@ -80,11 +80,11 @@ def test_equals_plain_loops(spark, least):
 def test_trees_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
     x, y = table()
     df = frame(spark, x, y)
-    kw = dict(max_iter=5, max_depth=3, rate=0.7, step=0.2)
+    kw = dict(max_iter=3, max_depth=2, rate=0.7, step=0.2)
     one = boosting.grow(df.coalesce(1), NAMES, **kw)
     monkeypatch.setattr(boosting, "ROWS_A_TASK", 40)
     monkeypatch.setattr(boosting, "MAX_CELLS", 600)   # a few nodes a job
-    monkeypatch.setattr(boosting, "REBASE", 2)
+    monkeypatch.setattr(boosting, "REBASE", 1)
     assert boosting.grow(df.repartition(7), NAMES, **kw) == one
     assert boosting.grow(df, NAMES, **{**kw, "rate": 1.0}) != one
 
@@ -113,7 +113,7 @@ def test_odd_rows(spark):
 def test_model_in_a_pipeline(spark, tmp_path):
     x, y = table(600)
     df = frame(spark, x, y)
-    params = {"maxIter": 25}
+    params = {"maxIter": 8, "stepSize": 0.3, "maxDepth": 2}
     model = models.fit(df.filter("row_id < 400"), NAMES, "GradientBoosting", True, params)
     test = df.filter("row_id >= 400")
     pred = models.predict(model, test)
