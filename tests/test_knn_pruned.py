@@ -68,3 +68,41 @@ def test_gaps_and_empty_sides(spark):
     whole = df.filter(F.col("row_id") % 5 != 0)
     assert knn_join(whole.limit(0), whole, "vector", 2, d_block_rows=10).count() == 0
     assert knn_join(whole, whole.limit(0), "vector", 2, d_block_rows=10).count() == 0
+
+
+def test_queries_meet_tiles_not_cells(spark, monkeypatch):
+    """Where nothing can be ruled out, a query travels once a tile of many cells."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(2000, 24)))], "row_id long, vector array<double>")
+    met, real = [], knn.materialize
+
+    def counted(frame, *args):
+        out = real(frame, *args)
+        if "_u" in out.columns:
+            met.append(out.count())
+        return out
+    monkeypatch.setattr(knn, "materialize", counted)
+    knn_join(df, df, "vector", 3, exclude_self=True, d_block_rows=50).count()
+    assert sum(met) <= 2000 * (2 * spark.sparkContext.defaultParallelism + 2)  # 40 blocks of 50 donors
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_rough_distances_miss_no_neighbour(gaps):
+    """Far from the origin, with ties and infinities: the same as comparing all pairs."""
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(300, 6)), 1) + 1e6
+    x[5:9] = x[4]
+    if gaps:
+        x[r.random(x.shape) < 0.2] = np.nan
+        x[7, 2] = np.inf
+    keys, k = np.arange(300)[::-1].copy(), 4
+    sides, best, bound = knn.Sides(x, x), knn.Nearest(300, k, keys), np.full(300, np.inf)
+    for at in range(0, 300, 70):
+        knn.scan(sides, best, bound, np.arange(300), slice(at, min(at + 70, 300)), keys, True)
+    d2 = knn.pair_d2(x, x)
+    d2[~np.isfinite(d2)] = np.nan
+    np.fill_diagonal(d2, np.nan)
+    for i in range(300):
+        near = [j for j in np.lexsort((keys, d2[i])) if not np.isnan(d2[i, j])][:k]
+        assert best.at[i][best.at[i] >= 0].tolist() == near
+        assert best.d[i][:len(near)].tolist() == d2[i, near].tolist()
