@@ -15,8 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import balance, boosting, encode, evaluate, recode, split
+from . import balance, boosting, encode, evaluate, forest, recode, split
 
 # Default hyper-parameters of the reference models.
 RF_DEFAULTS = dict(maxBins=64, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
@@ -46,9 +45,10 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
-def _weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    w = encode.class_weights(df, label).select(label, F.col("weight").alias("_w"))
-    return df.join(F.broadcast(w), label)
+def _class_weights(df: DataFrame, label: str = "label") -> list[float]:
+    """Weight of each class 0, 1, ... (one row a class)."""
+    found = {int(r[label]): float(r["weight"]) for r in encode.class_weights(df.filter(F.col(label).isNotNull()), label).collect()}
+    return [found.get(c, 1.0) for c in range(max(found, default=-1) + 1)]
 
 
 #: Iterations of the linear SVM (``maxIter`` in params overrides it).
@@ -65,15 +65,15 @@ def degree_two_weights(p: int, gamma: float) -> list[float]:
     return out
 
 
-def build(model: str, features: list[str], multiclass: bool, params: dict | None = None, n_rows: int = 1) -> Pipeline:
-    """Unfitted pipeline; ``n_rows`` (training rows) sets the SVM's 1 / (C n)."""
+def build(model: str, features: list[str], multiclass: bool, params: dict | None = None, n_rows: int = 1,
+          class_weights: list[float] | None = None) -> Pipeline:
+    """Unfitted pipeline; ``n_rows`` (training rows) sets the SVM's 1 / (C n),
+    ``class_weights`` weigh the forest's rows."""
     params = dict(params or {})
     stages = [_assembler(features)]
     if model == "RandomForest":
         p = {**RF_DEFAULTS, **params}
-        clf = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="_w",
-                                     cacheNodeIds=True, maxMemoryInMB=1024, **p)
-        stages.append(clf)
+        stages.append(forest.RandomForest(featureNames=features, classWeights=class_weights, **p))
     elif model == "GradientBoosting":
         p = {**GBT_DEFAULTS, **params}
         stages.append(boosting.MultinomialBoosting(featureNames=features, **p) if multiclass
@@ -97,10 +97,10 @@ def fit(matrix: DataFrame, features: list[str], model: str = "RandomForest",
         return _fit_svm(matrix, features, multiclass, params)
     if model != "RandomForest":
         return build(model, features, multiclass, params).fit(matrix)   # boosting caches its own input
-    # the forest rescans its input once per tree level: keep it materialised
-    data = _weighted(matrix).persist(StorageLevel.MEMORY_AND_DISK)
+    # read several times: by the weights, the cuts and the binning
+    data = matrix.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build(model, features, multiclass, params).fit(data)
+        return build(model, features, multiclass, params, class_weights=_class_weights(data)).fit(data)
     finally:
         data.unpersist()
 
