@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -76,8 +76,7 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
         stages.append(forest.RandomForest(featureNames=features, classWeights=class_weights, **p))
     elif model == "GradientBoosting":
         p = {**GBT_DEFAULTS, **params}
-        stages.append(boosting.MultinomialBoosting(featureNames=features, **p) if multiclass
-                      else GBTClassifier(labelCol="label", featuresCol="features", **p))
+        stages.append(boosting.MultinomialBoosting(featureNames=features, mostClasses=0 if multiclass else 2, **p))
     elif model == "SVM":
         p = {**SVM_DEFAULTS, **params}
         stages.append(PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"))
@@ -211,7 +210,7 @@ def train_evaluate(matrix: DataFrame, features: list[str], model: str = "RandomF
     if balance_scope == "train":
         train = materialize(balanced(train, features, mode, key, seed).drop("is_synthetic"))
     m = fit(train, features, model, mode == "multiclase")
-    pred = predict(m, test, key)
+    pred = materialize(predict(m, test, key))   # read once by every metric
     return m, pred, metrics_table(pred, mode)
 
 
