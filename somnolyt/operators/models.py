@@ -15,15 +15,14 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import balance, boosting, encode, evaluate, forest, recode, split
+from . import balance, boosting, encode, evaluate, forest, recode, split, svm
 
 # Default hyper-parameters of the reference models.
 RF_DEFAULTS = dict(maxBins=64, numTrees=100, maxDepth=30, featureSubsetStrategy="sqrt", bootstrap=True, seed=42)
@@ -65,10 +64,10 @@ def degree_two_weights(p: int, gamma: float) -> list[float]:
     return out
 
 
-def build(model: str, features: list[str], multiclass: bool, params: dict | None = None, n_rows: int = 1,
+def build(model: str, features: list[str], multiclass: bool, params: dict | None = None, n_rows: int | None = None,
           class_weights: list[float] | None = None) -> Pipeline:
-    """Unfitted pipeline; ``n_rows`` (training rows) sets the SVM's 1 / (C n),
-    ``class_weights`` weigh the forest's rows."""
+    """Unfitted pipeline; ``n_rows`` sets the SVM's 1 / (C n) where it is not
+    the rows of the fit, ``class_weights`` weigh the forest's rows."""
     params = dict(params or {})
     stages = [_assembler(features)]
     if model == "RandomForest":
@@ -79,12 +78,9 @@ def build(model: str, features: list[str], multiclass: bool, params: dict | None
         stages.append(boosting.MultinomialBoosting(featureNames=features, mostClasses=0 if multiclass else 2, **p))
     elif model == "SVM":
         p = {**SVM_DEFAULTS, **params}
-        stages.append(PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"))
-        stages.append(ElementwiseProduct(scalingVec=Vectors.dense(degree_two_weights(len(features), p["gamma"])),
-                                         inputCol="poly", outputCol="mapped"))
-        svc = LinearSVC(labelCol="label", featuresCol="mapped", regParam=1.0 / (p["C"] * max(1, n_rows)),
-                        tol=p["tol"], maxIter=p.get("maxIter", SVM_MAX_ITER))
-        stages.append(OneVsRest(classifier=svc, labelCol="label", featuresCol="mapped") if multiclass else svc)
+        stages.append(svm.QuadraticSVM(numFeatures=len(features), gamma=float(p["gamma"]), C=float(p["C"]), tol=p["tol"],
+                                       maxIter=p.get("maxIter", SVM_MAX_ITER), multiclass=multiclass,
+                                       **({} if n_rows is None else {"regParam": 1.0 / (p["C"] * max(1, n_rows))})))
     else:
         raise ValueError(f"unknown model {model!r}")
     return Pipeline(stages=stages)
@@ -106,27 +102,28 @@ def fit(matrix: DataFrame, features: list[str], model: str = "RandomForest",
 
 def _fit_svm(matrix: DataFrame, features: list[str], multiclass: bool, params: dict | None, folds: int = 3) -> PipelineModel:
     """Linear SVM on the degree-2 map; in binary mode a logistic unit fitted on
-    out-of-fold margins turns margins into probabilities."""
-    def trained(df: DataFrame) -> PipelineModel:
-        return build("SVM", features, multiclass, params, df.count()).fit(df)
+    out-of-fold margins turns margins into probabilities.  The folds' fits and
+    that of all rows share each pass over the rows."""
+    pipeline = build("SVM", features, multiclass, params)
     if multiclass:
-        return trained(matrix)
+        return pipeline.fit(matrix)
+    assembler, estimator = pipeline.getStages()
     draw = split.uniform(F.lit("platt"), *[F.col(c) for c in matrix.columns if c not in features and c != "label"])
-    folded = matrix.withColumn("_fold", F.floor(draw * folds)).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = assembler.transform(matrix).select("label", "features", F.floor(draw * folds).cast("int").alias("_fold"))
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        *parts, whole = estimator.fitted(folded, F.col("_fold"), folds)
         margins = None
-        for f in range(folds):
-            part = folded.filter(F.col("_fold") != f)
-            if part.select("label").distinct().count() < 2:
+        for f, part in enumerate(parts):
+            if part is None:
                 continue
-            m = trained(part).transform(folded.filter(F.col("_fold") == f)).select("label", "rawPrediction")
+            m = part.transform(folded.filter(F.col("_fold") == f)).select("label", "rawPrediction")
             margins = m if margins is None else margins.unionByName(m)
-        whole = trained(folded)
         if margins is None:
-            return whole
+            return PipelineModel(stages=[assembler, whole])
         platt = LogisticRegression(labelCol="label", featuresCol="rawPrediction", predictionCol="platt_prediction",
                                    rawPredictionCol="platt_margin", probabilityCol="probability").fit(margins)
-        return PipelineModel(stages=[*whole.stages, platt])
+        return PipelineModel(stages=[assembler, whole, platt])
     finally:
         folded.unpersist()
 
