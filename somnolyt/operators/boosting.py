@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..session import materialize
-from .quantiles import column_quantiles
+from .quantiles import dense_quantiles
 
 #: Bins of a feature (at most 256, as a bin is a byte).
 BINS = 64
@@ -257,8 +257,8 @@ def feature_cuts(df: DataFrame, features: list[str], bins: int = BINS) -> list[l
     if few:
         got = df.agg(*[F.array_sort(F.collect_set(F.col(f"`{c}`").cast("double"))).alias(f"c{i}") for i, c in enumerate(few)]).first()
         levels = {c: got[i] for i, c in enumerate(few)}
-    many = column_quantiles(df, [c for c in features if c not in levels or len(levels[c]) > bins],
-                            [i / bins for i in range(bins + 1)])
+    many = dense_quantiles(df, [c for c in features if c not in levels or len(levels[c]) > bins],
+                           [i / bins for i in range(bins + 1)])
     out = []
     for c in features:
         values = many[c] if c in many else levels[c]

@@ -46,8 +46,8 @@ from .boosting import feature_cuts
 LOCAL_ROWS = 50_000
 #: Rows that a task packs at a time.
 CHUNK_ROWS = 50_000
-#: Rows below which a further task is not worth its start.
-ROWS_A_TASK = 5_000
+#: Rows below which a further task is not worth its start, and rows that a task takes where there are enough for all cores.
+ROWS_A_TASK, FULL_TASK_ROWS = 5_000, 50_000
 #: Least gain (in weighted rows) of a cut, for rounding.
 LEAST_GAIN = 1e-9
 
@@ -55,6 +55,12 @@ LEAST_GAIN = 1e-9
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 
 
+def n_tasks(rows: int, cores: int) -> int:
+    """Tasks for so many rows.  A task's counts have the size of the open nodes'
+    cells whatever its rows, so beyond two tasks a core only full ones are added."""
+    return max(1, min(math.ceil(rows / ROWS_A_TASK), max(2 * cores, math.ceil(rows / FULL_TASK_ROWS))))
+
+
 def n_drawn_features(strategy: str, p: int) -> int:
     """Features a node draws of p."""
     if strategy in ("auto", "sqrt"):
@@ -228,7 +234,7 @@ def grow(df: DataFrame, features: list[str], label: str, key: list[str], class_w
     rows = filled.select(F.col(f"`{label}`").cast("int").alias("label"), F.xxhash64(*[F.col(f"`{c}`") for c in key], F.lit(seed)).alias("draw"),
                          F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(float("nan"))) for c in features]).alias("x"))
     rows = (rows.mapInArrow(bin_rows, "label int, draw long, bins binary")
-            .repartition(max(1, math.ceil(total / ROWS_A_TASK))).persist(StorageLevel.MEMORY_AND_DISK))
+            .repartition(n_tasks(total, df.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK))
     upper = [{"feature": [-1], "cut": [0], "left": [0], "counts": [None]} for _ in range(trees)]
     importance = np.zeros((trees, p))
     open_, depth_of = {t: [0] for t in range(trees)}, [{0: 0} for _ in range(trees)]

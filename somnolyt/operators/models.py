@@ -186,15 +186,14 @@ def balanced(matrix: DataFrame, features: list[str], mode: str = "binario", key:
 
 
 def holdout(matrix: DataFrame, key: str = "row_id", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test) of the stratified 80/20 split; rows without a label are in neither."""
-    sp = split.stratified_split(matrix.filter(F.col("label").isNotNull()), "label", key, 0.2, seed)
+    """(train, test) of the stratified 80/20 split, which is made once; rows without a label are in neither."""
+    sp = materialize(split.stratified_split(matrix.filter(F.col("label").isNotNull()), "label", key, 0.2, seed))
     return tuple(sp.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
 
 
-def train_evaluate(matrix: DataFrame, features: list[str], model: str = "RandomForest",
-                   mode: str = "binario", key: str = "row_id", seed: int = 42, balance_scope: str = "train"):
-    """Stratified 80/20 split, balance and fit the train part, score the test
-    part; returns (model, test predictions, tall metrics).
+def train_test(matrix: DataFrame, features: list[str], mode: str = "binario", key: str = "row_id", seed: int = 42,
+               balance_scope: str = "train") -> tuple[DataFrame, DataFrame]:
+    """(train, test) of the stratified 80/20 split, missing and infinite features 0.
 
     ``balance_scope``: "train" (synthetic rows never reach the test part),
     "all" (balance before the split) or "none"."""
@@ -206,11 +205,39 @@ def train_evaluate(matrix: DataFrame, features: list[str], model: str = "RandomF
     train, test = holdout(matrix, key, seed)
     if balance_scope == "train":
         train = materialize(balanced(train, features, mode, key, seed).drop("is_synthetic"))
+    return train, test
+
+
+def fit_evaluate(train: DataFrame, test: DataFrame, features: list[str], model: str = "RandomForest",
+                 mode: str = "binario", key: str = "row_id"):
+    """Fit one part, score the other; returns (model, test predictions, tall metrics)."""
     m = fit(train, features, model, mode == "multiclase")
     pred = materialize(predict(m, test, key))   # read once by every metric
     return m, pred, metrics_table(pred, mode)
 
 
+def train_evaluate(matrix: DataFrame, features: list[str], model: str = "RandomForest",
+                   mode: str = "binario", key: str = "row_id", seed: int = 42, balance_scope: str = "train"):
+    """Stratified 80/20 split, balance and fit the train part, score the test
+    part; returns (model, test predictions, tall metrics).  ``balance_scope`` as
+    in ``train_test``."""
+    train, test = train_test(matrix, features, mode, key, seed, balance_scope)
+    return fit_evaluate(train, test, features, model, mode, key)
+
+
+def compare(matrix: DataFrame, features: list[str], names: list[str], mode: str = "binario", key: str = "row_id",
+            seed: int = 42, balance_scope: str = "train") -> DataFrame:
+    """(model, metric, value) of several models; all are fitted on the same
+    balanced train part, which is made once."""
+    train, test = train_test(matrix, features, mode, key, seed, balance_scope)
+    out = None
+    for name in names:
+        _, _, metrics = fit_evaluate(train, test, features, name, mode, key)
+        t = metrics.select(F.lit(name).alias("model"), "metric", "value")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def metrics_table(pred: DataFrame, mode: str = "binario") -> DataFrame:
     """Tall (metric, value) table of headline metrics for predictions."""
     if mode == "binario":

@@ -72,12 +72,7 @@ def q_cv(spark, sf_dir):
 def q_compare(spark, sf_dir):
     """Configured models (forest, boosting) in binary mode, metrics by model."""
     m, params = _matrix(spark, sf_dir)
-    out = None
-    for name in ("RandomForest", "GradientBoosting"):
-        _, _, metrics = models.train_evaluate(m, params.features, name, "binario", key=KEY)
-        t = metrics.select(F.lit(name).alias("model"), "metric", "value")
-        out = t if out is None else out.unionByName(t)
-    return out
+    return models.compare(m, params.features, ["RandomForest", "GradientBoosting"], "binario", key=KEY)
 
 
 @query("model_roundtrip")
